@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import OP1_SQL, op1_ann_search
 from .decontaminate import op2_decontaminate
+from .lines import op8_line_dedup
 from .mixing import OP7_SQL, op7_mix_sources
 from .quality import op9_quality_classifier
 from .simhash import op6_simhash_dedup
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
