@@ -211,7 +211,8 @@ def _runs(row: np.ndarray, place: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"row": owner[at], "runs": [pairs[i:j].tobytes() for i, j in zip(at, np.r_[at[1:], len(owner)])]})
 
 
-def _settle_windows(blobs: pd.DataFrame) -> pd.DataFrame:
+def _settle_windows(blobs: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """The windows that go, dealt by document: one packed row for each bucket of documents."""
     done, rest = blobs[blobs.done], blobs[~blobs.done]
     row = [np.frombuffer(x, np.int64) for x in done.row]
     place = [np.frombuffer(x, np.uint32) for x in done.place]
@@ -223,20 +224,28 @@ def _settle_windows(blobs: pd.DataFrame) -> pd.DataFrame:
         late = order[s != s[np.flatnonzero(new)][np.cumsum(new) - 1]]
         row.append(r[late])
         place.append(p[late])
-    none = np.zeros(0, np.int64)
-    return _runs(np.concatenate([none, *row]), np.concatenate([none, *place]))
+    rows, places = np.concatenate([np.zeros(0, np.int64), *row]), np.concatenate([np.zeros(0, np.uint32), *place])
+    target = np.mod(rows, buckets)
+    order = np.lexsort((places, rows, target))
+    rows, places = rows[order], places[order]
+    edges = np.searchsorted(target[order], np.arange(buckets + 1))
+    cut = [(k, i, j) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+    return pd.DataFrame({"target": np.array([k for k, _, _ in cut], np.int32), "row": [rows[i:j].tobytes() for _, i, j in cut], "place": [places[i:j].tobytes() for _, i, j in cut]})
 
 
-def kept_words(text: bytes, runs: list[bytes]) -> tuple[int, list[bytes]]:
+def _gather(blobs: pd.DataFrame) -> pd.DataFrame:
+    return _runs(np.concatenate([np.frombuffer(x, np.int64) for x in blobs.row]), np.concatenate([np.frombuffer(x, np.uint32) for x in blobs.place]))
+
+
+def kept_words(text: bytes, runs: bytes | None) -> tuple[int, list[bytes]]:
     """Number of words of a text, and those that no repeated window covers."""
     words = text.split()
     if not runs:
         return len(words), words
     edge = np.zeros(len(words) + 1, np.int64)
-    for x in runs:
-        pairs = np.frombuffer(x, np.int64).reshape(-1, 2)
-        np.add.at(edge, pairs[:, 0], 1)
-        np.add.at(edge, np.minimum(pairs[:, 0] + pairs[:, 1] + WINDOW - 1, len(words)), -1)
+    pairs = np.frombuffer(runs, np.int64).reshape(-1, 2)
+    np.add.at(edge, pairs[:, 0], 1)
+    np.add.at(edge, np.minimum(pairs[:, 0] + pairs[:, 1] + WINDOW - 1, len(words)), -1)
     keep = np.cumsum(edge)[:-1] == 0
     return len(words), [words[i] for i in np.flatnonzero(keep)]
 
@@ -245,7 +254,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         total, removed, texts = [], [], []
         for text, runs in zip(b.column(1), b.column(2)):
-            n, kept = kept_words((text.as_py() or "").encode(), runs.as_py() or [])
+            n, kept = kept_words((text.as_py() or "").encode(), runs.as_py())
             total.append(n)
             removed.append(n - len(kept))
             texts.append(b" ".join(kept).decode())
@@ -260,8 +269,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     table, bits = _anchor_filter(rows, buckets)
     shared = spark.sparkContext.broadcast(table)
     blobs = rows.mapInArrow(_window_blobs(buckets, shared, bits), "bucket int, done boolean, one binary, two binary, row binary, doc binary, place binary")
-    runs = blobs.groupBy("bucket").applyInPandas(_settle_windows, "row long, runs binary")
-    gathered = settle(runs.groupBy("row").agg(F.collect_list("runs").alias("runs")), "repeats")
+    late = blobs.groupBy("bucket").applyInPandas(lambda x: _settle_windows(x, buckets), "target int, row binary, place binary")
+    gathered = settle(late.groupBy("target").applyInPandas(_gather, "row long, runs binary"), "repeats")
     joined = rows.join(gathered, "row", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, kept string")
 
