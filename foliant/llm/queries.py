@@ -10,6 +10,7 @@ from .ann import OP1_SQL, op1_ann_search
 from .decontaminate import op2_decontaminate
 from .lines import op8_line_dedup
 from .mixing import OP7_SQL, op7_mix_sources
+from .pii import op3_pii_sanitise
 from .quality import op9_quality_classifier
 from .simhash import op6_simhash_dedup
 from .substring import op5_substring_dedup
@@ -19,6 +20,7 @@ from .token_output import op4_token_output
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_search": op1_ann_search,
     "op2_decontaminate": op2_decontaminate,
+    "op3_pii_sanitise": op3_pii_sanitise,
     "op4_token_output": op4_token_output,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
