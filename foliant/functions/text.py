@@ -83,7 +83,7 @@ def escape_markers(text: str | Column, prefix: str = "foliant") -> Column:
     return F.regexp_replace(_c(text), rf"(?m)^(\s*)<!--(\s*{prefix}[:-])", "$1&lt;!--$2")
 
 
-def marker(kind: str, prefix: str = "foliant", **values: str | Column) -> Column:
+def marker(kind: str, /, prefix: str = "foliant", **values: str | Column) -> Column:
     """``<!-- prefix:kind key="value" ... -->`` with keys in the given order."""
     parts: list[Column] = [F.lit(f"<!-- {prefix}:{kind}")]
     for k, v in values.items():

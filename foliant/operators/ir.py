@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import settle
+
 SCHEMA_NAME, SCHEMA_VERSION = "foliant.document", "0.1.0"
 NODE_KINDS = ("text", "image", "table", "chart", "group", "shape", "note", "unknown_native")
 
@@ -66,13 +68,15 @@ def cycles(nodes: DataFrame, rounds: int = 64) -> DataFrame:
 
     Pointer doubling: after k rounds a node knows its ancestor 2**k steps up;
     those that still have one after more steps than the depth bound are on or
-    below a cycle.  Each round is one equi-join.
+    below a cycle.  Each round is one equi-join, settled before the next one.
     """
     up = nodes.select("document_id", "node_id", F.col("parent_id").alias("far")).where("far is not null")
     steps = max(1, math.ceil(math.log2(rounds)))
     for _ in range(steps):
         other = up.select("document_id", F.col("node_id").alias("far"), F.col("far").alias("farther"))
-        up = up.join(other, ["document_id", "far"]).select("document_id", "node_id", F.col("farther").alias("far"))
+        up = settle(up.join(other, ["document_id", "far"]).select("document_id", "node_id", F.col("farther").alias("far")), "ancestors")
+        if up.isEmpty():
+            break
     return up.select("document_id", "node_id")
 
 

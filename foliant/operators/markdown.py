@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..functions import text as T
+from .staging import settle
 
 HEADING, LIST, IMAGE, FENCE = r"^(#{1,6})\s+(.*?)\s*#*\s*$", r"^(\s*)(?:[-*+]|\d+[.)])\s+(.*)$", r"^!\[([^\]]*)\]\(([^)]*)\)\s*$", r"^\s*(```|~~~)"
 RULE = r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$"
@@ -107,15 +108,17 @@ def render_chart(title: Column, categories: Column, values: Column) -> Column:
 def preorder(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
     """nodes (document_id, node_id, parent_id, order, canvas_index) reached from roots, with their ``path`` of orders.
 
-    One equi-join a level; a level without nodes ends the walk early in cost,
-    and the depth is a bound, so cycles can't run on.
+    One equi-join a level, settled before the next; the first level without
+    nodes ends the walk, and the depth is a bound, so cycles can't run on.
     """
     level = nodes.where("parent_id is null").withColumn("path", F.array(F.col("canvas_index").cast("long"), F.col("order").cast("long")))
     out = level
     below = nodes.where("parent_id is not null")
     for _ in range(max_depth - 1):
         parents = level.select("document_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_up"))
-        level = below.join(parents, ["document_id", "parent_id"]).withColumn("path", F.concat("_up", F.array(F.col("order").cast("long")))).drop("_up").select(*out.columns)
+        level = settle(below.join(parents, ["document_id", "parent_id"]).withColumn("path", F.concat("_up", F.array(F.col("order").cast("long")))).drop("_up").select(*out.columns), "level")
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 

@@ -44,7 +44,7 @@ def html_to_markdown(spark, sf_dir):
     return CV.convert(docs).select("document_id", "converter", "status", "title", "markdown")
 
 
-@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<h1[^>]*>')) AS BIGINT) AS headings, 'ok' AS status, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages""")
+@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<h1[^>]*>')) AS BIGINT) AS headings, 'ok' AS status, replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages""")
 def html_conversion_invariants(spark, sf_dir):
     """What SQL can say of the conversion: headings kept, titles, status."""
     pages = load(spark, sf_dir, "pages")
@@ -160,10 +160,10 @@ def partial_number_merge(spark, sf_dir):
     return d.select("doc_id", F.sha2(T.merge_partial_numbers(F.replace("text", F.lit(" "), F.lit("\n.7\n\n"))), 256).alias("digest"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(text, ' ', '\ |'), '\\ \|', '\ \|', 'g'), '\r\n|\n|\r', ' ', 'g')) AS digest FROM documents WHERE NOT contains(text, '|') AND NOT contains(text, '\')""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(replace(text, ' ', '\\\|'), '\r\n|\n|\r', ' ', 'g')) AS digest FROM documents WHERE NOT contains(text, '|') AND NOT contains(text, chr(92))""")
 def escape_cell(spark, sf_dir):
     d = load(spark, sf_dir, "documents").where(~F.contains("text", F.lit("|")) & ~F.contains("text", F.lit("\\")))
-    return d.select("doc_id", F.sha2(T.escape_cell(F.replace("text", F.lit(" "), F.lit("\\ |"))), 256).alias("digest"))
+    return d.select("doc_id", F.sha2(T.escape_cell(F.replace("text", F.lit(" "), F.lit("\\|"))), 256).alias("digest"))
 
 
 @query(r"""SELECT doc_id, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM (SELECT doc_id, source || '<&>' || lang AS t FROM documents)""")
@@ -248,26 +248,34 @@ def aligned_table(spark, sf_dir):
 
 
 @query(r"""WITH p AS (SELECT o_orderpriority AS c, o_orderstatus AS s, CAST(count(*) AS VARCHAR) AS v FROM orders GROUP BY ALL),
-n AS (SELECT list(DISTINCT s ORDER BY s) AS names FROM p),
-r AS (SELECT c, '| ' || c || ' | ' || array_to_string(list_transform((SELECT names FROM n), lambda x: coalesce((SELECT max(v) FROM p q WHERE q.c = p.c AND q.s = x), 'None')), ' | ') || ' |' AS line FROM p GROUP BY c)
-SELECT 1 AS document_id, '### Chart: Orders' || chr(10) || chr(10) || '| Category | ' || array_to_string((SELECT names FROM n), ' | ') || ' |' || chr(10) || '| --- | ' || array_to_string(list_transform((SELECT names FROM n), lambda x: '---'), ' | ') || ' |' || chr(10) || string_agg(line, chr(10) ORDER BY c) AS markdown FROM r""")
+g AS (SELECT c, s, coalesce(v, 'None') AS v FROM (SELECT DISTINCT o_orderpriority AS c FROM orders) CROSS JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders) LEFT JOIN p USING (c, s)),
+r AS (SELECT c, '| ' || c || ' | ' || string_agg(v, ' | ' ORDER BY s) || ' |' AS line FROM g GROUP BY c),
+h AS (SELECT '| Category | ' || string_agg(s, ' | ' ORDER BY s) || ' |' || chr(10) || '| --- | ' || string_agg('---', ' | ') || ' |' AS head FROM (SELECT DISTINCT s FROM p))
+SELECT 1 AS document_id, '### Chart: Orders' || chr(10) || chr(10) || (SELECT head FROM h) || chr(10) || string_agg(line, chr(10) ORDER BY c) AS markdown FROM r""")
 def chart_pivot(spark, sf_dir):
     o = load(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("value"))
     points = o.select(F.lit(1).alias("document_id"), F.lit("Orders").alias("title"), (F.dense_rank().over(Window.orderBy("o_orderpriority")) - 1).alias("category_index"), F.col("o_orderpriority").alias("category"), (F.dense_rank().over(Window.orderBy("o_orderstatus")) - 1).alias("series_index"), F.col("o_orderstatus").alias("series"), "value")
     return tables.chart_markdown(points)
 
 
-@query(r"""SELECT l_orderkey AS document_id, string_agg(line, chr(10) ORDER BY l_linenumber) AS semantic_text FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) || chr(9) || l_returnflag AS line FROM lineitem) GROUP BY l_orderkey""")
-def semantic_text(spark, sf_dir):
-    return tables.semantic_text(_cells(spark, sf_dir), ("document_id",))
+_ROWS = "(SELECT o_custkey AS k, o_orderkey, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r FROM orders)"
+
+
+def _rows(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("document_id"), "o_orderkey", "o_orderstatus", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("row"))
 
 
 def _cells(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem")
-    cells = li.select(F.col("l_orderkey").alias("document_id"), (F.col("l_linenumber") - 1).alias("row"), F.posexplode(F.array(F.col("l_partkey").cast("string"), "l_returnflag")).alias("column", "text"))
+    cells = _rows(spark, sf_dir).select("document_id", "row", F.posexplode(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus")).alias("column", "text"))
     return cells.withColumns({"row_span": F.lit(1), "column_span": F.lit(1)})
 
 
+@query(f"""SELECT k AS document_id, string_agg(CAST(o_orderkey AS VARCHAR) || chr(9) || s, chr(10) ORDER BY r) AS semantic_text FROM {_ROWS} GROUP BY k""")
+def semantic_text(spark, sf_dir):
+    return tables.semantic_text(_cells(spark, sf_dir), ("document_id",))
+
+
 @query(r"""SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
 def conversation_markdown(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
@@ -371,13 +379,12 @@ def capability_reasons(spark, sf_dir):
 
 
 def _updates(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    k = F.col("l_orderkey")
-    old = F.when(k % 5 == 0, F.lit("?")).otherwise(F.col("l_returnflag"))
-    return li.select(k.alias("document_id"), F.when(k % 7 == 0, 99).otherwise(0).alias("row"), F.lit(1).alias("column"), old.alias("old_text"), F.when(k % 3 == 0, old).otherwise(F.lit("new")).alias("text"))
+    first, k = _rows(spark, sf_dir).where("row = 0"), F.col("document_id")
+    old = F.when(k % 5 == 0, F.lit("?")).otherwise(F.col("o_orderstatus"))
+    return first.select(k, F.when(k % 7 == 0, 99).otherwise(0).alias("row"), F.lit(1).alias("column"), old.alias("old_text"), F.when(k % 3 == 0, old).otherwise(F.lit("new")).alias("text"))
 
 
-_UPDATES = """SELECT l_orderkey AS k, l_returnflag AS have, CASE WHEN l_orderkey % 7 = 0 THEN 99 ELSE 0 END AS r, CASE WHEN l_orderkey % 5 = 0 THEN '?' ELSE l_returnflag END AS o, CASE WHEN l_orderkey % 3 = 0 THEN CASE WHEN l_orderkey % 5 = 0 THEN '?' ELSE l_returnflag END ELSE 'new' END AS t FROM lineitem WHERE l_linenumber = 1"""
+_UPDATES = f"""SELECT k, s AS have, CASE WHEN k % 7 = 0 THEN 99 ELSE 0 END AS r, CASE WHEN k % 5 = 0 THEN '?' ELSE s END AS o, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 5 = 0 THEN '?' ELSE s END ELSE 'new' END AS t FROM {_ROWS} WHERE r = 0"""
 _REASON = "CASE WHEN r = 99 THEN 'cell_out_of_range' WHEN have <> o THEN 'cell_old_value_mismatch' WHEN t = o THEN 'no_op_cell_update' END"
 
 
@@ -385,14 +392,13 @@ def _shapes(spark, sf_dir):
     return _cells(spark, sf_dir).groupBy("document_id").agg((F.max("row") + 1).alias("rows"), F.lit(2).alias("columns"))
 
 
-@query(f"""WITH u AS ({_UPDATES}), n AS (SELECT l_orderkey AS k, count(*) = max(l_linenumber) AS sound FROM lineitem GROUP BY 1)
-SELECT u.k AS document_id, CASE WHEN NOT sound THEN 'unsupported_table_structure' ELSE {_REASON} END AS reason FROM u JOIN n ON u.k = n.k""")
+@query(f"""SELECT k AS document_id, {_REASON} AS reason FROM ({_UPDATES})""")
 def table_edit_validate(spark, sf_dir):
     return E.check_cells(_updates(spark, sf_dir), _cells(spark, sf_dir), _shapes(spark, sf_dir)).select("document_id", "reason")
 
 
-@query(f"""WITH u AS ({_UPDATES}), n AS (SELECT l_orderkey AS k, count(*) = max(l_linenumber) AS sound FROM lineitem GROUP BY 1), a AS (SELECT u.k FROM u JOIN n ON u.k = n.k WHERE sound AND {_REASON} IS NULL)
-SELECT l_orderkey AS document_id, string_agg(CASE WHEN l_linenumber = 1 AND a.k IS NOT NULL THEN 'new' ELSE l_returnflag END, ',' ORDER BY l_linenumber) AS flags FROM lineitem LEFT JOIN a ON a.k = l_orderkey GROUP BY l_orderkey""")
+@query(f"""WITH a AS (SELECT k FROM ({_UPDATES}) WHERE {_REASON} IS NULL)
+SELECT o.k AS document_id, string_agg(CASE WHEN r = 0 AND a.k IS NOT NULL THEN 'new' ELSE s END, ',' ORDER BY r) AS flags FROM {_ROWS} o LEFT JOIN a ON a.k = o.k GROUP BY o.k""")
 def table_edit_apply(spark, sf_dir):
     cells = _cells(spark, sf_dir)
     done = E.apply_cells(cells, E.check_cells(_updates(spark, sf_dir), cells, _shapes(spark, sf_dir))).where("column = 1")
@@ -461,7 +467,7 @@ def import_edits(spark, sf_dir):
     return got.groupBy("document_id").agg(F.count_if(F.col("verdict") == "unchanged").alias("unchanged"), F.count_if(F.col("verdict") == "replace_text").alias("replaced"))
 
 
-@query(r"""SELECT doc_id AS document_id, 'import.missing_block' AS code, CAST(1 AS BIGINT) AS n FROM documents WHERE doc_id % 10 = 0 AND length(trim(string_split(text, chr(10))[1])) > 0""")
+@query(r"""SELECT doc_id AS document_id, 'import.missing_block' AS code, CAST(1 AS BIGINT) AS n FROM documents WHERE doc_id % 10 = 0 AND length(trim(string_split(text, chr(10))[1])) > 0 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) > 1""")
 def import_integrity(spark, sf_dir):
     """One block of every tenth document is gone from the edited text."""
     found = _projected(spark, sf_dir)
@@ -476,24 +482,24 @@ def import_integrity(spark, sf_dir):
 
 
 def _words(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
-    cells = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_returnflag"))
-    return li.select(F.col("l_orderkey").alias("document_id"), F.lit(1).alias("page"), F.lit(612.0).alias("width"), F.posexplode(cells).alias("c", "text"), "l_linenumber").select("document_id", "page", "width", "text", (F.col("c") * 150.0 + 40).alias("x0"), (F.col("c") * 150.0 + 90).alias("x1"), (F.col("l_linenumber") * 20.0 + F.col("c")).alias("top"))
+    rows = _rows(spark, sf_dir).where("row < 40")
+    cells = F.array(F.col("o_orderkey").cast("string"), F.col("row").cast("string"), F.col("o_orderstatus"))
+    return rows.select("document_id", F.lit(1).alias("page"), F.lit(612.0).alias("width"), F.posexplode(cells).alias("c", "text"), "row").select("document_id", "page", "width", "text", (F.col("c") * 150.0 + 40).cast("double").alias("x0"), (F.col("c") * 150.0 + 90).cast("double").alias("x1"), (F.col("row") * 20.0 + F.col("c")).cast("double").alias("top"))
 
 
-@query(r"""SELECT l_orderkey AS document_id, CAST(l_linenumber * 20.0 AS DOUBLE) AS band, CAST(3 AS BIGINT) AS words, true AS is_table FROM lineitem WHERE l_orderkey % 20 = 0""")
+@query(f"""SELECT k AS document_id, CAST(r * 20 AS DOUBLE) AS band, CAST(3 AS BIGINT) AS words, true AS is_table FROM {_ROWS} WHERE r < 40""")
 def layout_rows(spark, sf_dir):
     rows = layout.table_rows(layout.band_rows(layout.row_bands(_words(spark, sf_dir))))
-    return rows.select("document_id", "band", F.size("groups").cast("long").alias("words"), "is_table")
+    return rows.select("document_id", F.col("band").cast("double").alias("band"), F.size("groups").cast("long").alias("words"), "is_table")
 
 
-@query(r"""SELECT l_orderkey AS document_id, CAST(c AS INTEGER) AS column_no, CAST(c * 150.0 + 40 AS DOUBLE) AS x FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 20 = 0), (SELECT unnest([0, 1, 2]) AS c)""")
+@query(f"""SELECT k AS document_id, CAST(c AS INTEGER) AS column_no, CAST(c * 150 + 40 AS DOUBLE) AS x FROM (SELECT DISTINCT k FROM {_ROWS}), (SELECT unnest([0, 1, 2]) AS c)""")
 def layout_columns(spark, sf_dir):
     found = layout.columns(layout.band_rows(layout.row_bands(_words(spark, sf_dir))))
-    return found.select("document_id", F.col("column_no").cast("int").alias("column_no"), "x")
+    return found.select("document_id", F.col("column_no").cast("int").alias("column_no"), F.col("x").cast("double").alias("x"))
 
 
-@query(r"""WITH l AS (SELECT l_orderkey, l_linenumber, '| ' || l_partkey || ' | ' || l_suppkey || ' | ' || l_returnflag || ' |' AS line FROM lineitem WHERE l_orderkey % 20 = 0)
-SELECT l_orderkey AS document_id, arg_min(line, l_linenumber) || chr(10) || '| --- | --- | --- |' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber) FILTER (l_linenumber > m), '') AS markdown FROM l JOIN (SELECT l_orderkey AS k, min(l_linenumber) AS m FROM lineitem GROUP BY 1) ON k = l_orderkey GROUP BY l_orderkey""")
+@query(f"""WITH l AS (SELECT k, r, '| ' || o_orderkey || ' | ' || r || ' | ' || s || ' |' AS line FROM {_ROWS} WHERE r < 40)
+SELECT k AS document_id, arg_min(line, r) || chr(10) || '| --- | --- | --- |' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY r) FILTER (r > 0), '') AS markdown FROM l GROUP BY k""")
 def layout_markdown(spark, sf_dir):
     return layout.form_markdown(_words(spark, sf_dir)).select("document_id", "markdown")
