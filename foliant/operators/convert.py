@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_output
-from ..sources import binary, html, lexical, office, web
+from ..sources import binary, html, lexical, office, pdf, web
 from .registry import TYPES, Registry, route
 
 SAMPLE = 64 << 10
@@ -85,6 +85,7 @@ CONVERTERS: dict[str, Convert] = {
     "pptx": lambda d, i: office.pptx(d),
     "epub": lambda d, i: office.epub(d),
     "msg": lambda d, i: binary.mail_markdown(d),
+    "pdf": lambda d, i: pdf.pdf(d),
     "image": lambda d, i: binary.image(d),
     "audio": lambda d, i: binary.audio(d),
     "ipynb": lambda d, i: lexical.notebook(json.loads(decode(d, i.get("charset")).lstrip("﻿"))),
