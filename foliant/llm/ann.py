@@ -95,22 +95,23 @@ def _matrix(data: bytes, n: int) -> np.ndarray:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one partition, packed in blocks of at most BLOCK vectors of one length."""
-    held: dict[tuple[int, bool], list[tuple[int, np.ndarray]]] = {}
+    """Rows dealt by block, packed: a block holds BLOCK vectors of one length or a few more, queries apart."""
+    held: dict[tuple[int, bool, int], list[tuple[int, np.ndarray]]] = {}
 
-    def block(key: tuple[int, bool]) -> pa.RecordBatch:
+    def block(key: tuple[int, bool, int]) -> pa.RecordBatch:
         got = held.pop(key)
         return pa.RecordBatch.from_pydict(
             {"dim": pa.array([key[0]], pa.int32()), "query": pa.array([key[1]]), "n": pa.array([len(got)], pa.int32()), "ids": pa.array([np.array([g[0] for g in got], np.int64).tobytes()], pa.binary()), "data": pa.array([np.stack([g[1] for g in got]).tobytes()], pa.binary())}
         )
 
     for b in batches:
-        for vec_id, vec, query in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+        for vec_id, vec, query, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
             v = vec.values.to_numpy(zero_copy_only=False).astype(np.float64)
             for q in (False, True)[: 1 + bool(query)]:
-                held.setdefault((len(v), q), []).append((vec_id, v))
-                if len(held[len(v), q]) == BLOCK:
-                    yield block((len(v), q))
+                key = (len(v), q, at)
+                held.setdefault(key, []).append((vec_id, v))
+                if len(held[key]) == 2 * BLOCK:
+                    yield block(key)
     for key in list(held):
         yield block(key)
 
@@ -154,8 +155,11 @@ def usable(vector: Column) -> Column:
 def nearest(vectors: DataFrame, is_query: Column) -> DataFrame:
     """query_id, rank, vec_id and score of the K nearest of every row for which is_query holds."""
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    one = good.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    blocks = settle(one.mapInArrow(_packed, "dim int, query boolean, n int, ids binary, data binary"), "blocks")
+    one = settle(good.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
+    # as many blocks as the vectors fill, whatever the number of partitions
+    n = max(1, -(-one.count() // BLOCK))
+    dealt = one.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))).repartition(n, "block")
+    blocks = settle(dealt.mapInArrow(_packed, "dim int, query boolean, n int, ids binary, data binary"), "blocks")
     queries = blocks.where("query").select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     candidates = blocks.where("not query").select("dim", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
     # a tile for each pair of blocks, dealt evenly: a third of all vectors may have one length
