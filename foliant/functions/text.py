@@ -154,3 +154,8 @@ def email_markdown(sender: Column, to: Column, subject: Column, body: Column) ->
     """A message: headers that are there, then the body."""
     head = lambda label, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"**{label}:** "), v, F.lit("\n"))).otherwise("")
     return F.trim(F.concat(F.lit("# Email Message\n\n"), head("From", sender), head("To", to), head("Subject", subject), F.lit("\n## Content\n\n"), F.coalesce(body, F.lit(""))))
+
+
+def strip(text: str | Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+\z", "")
