@@ -13,7 +13,7 @@ from .mixing import OP7_SQL, op7_mix_sources
 from .pii import op3_pii_sanitise
 from .quality import op9_quality_classifier
 from .simhash import op6_simhash_dedup
-from .substring import op5_substring_dedup
+from .substring import OP5_SQL, op5_substring_dedup
 from .token_counts import op10_token_counts
 from .token_output import op4_token_output
 
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {"op1_ann_search": OP1_SQL, "op7_mix_sources": OP7_SQL}
+ORACLE: dict[str, str] = {"op1_ann_search": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op7_mix_sources": OP7_SQL}

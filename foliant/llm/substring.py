@@ -277,3 +277,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS n FROM documents),
+w AS (SELECT *, CASE WHEN count(*) OVER f = 13 THEN string_agg(word, ' ') OVER f END AS win FROM d
+      WINDOW f AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+m AS (SELECT win, min(doc_id) AS least FROM w WHERE win IS NOT NULL GROUP BY win),
+l AS (SELECT w.doc_id, w.n, w.word, coalesce(w.doc_id > m.least, false) AS late FROM w LEFT JOIN m ON w.win = m.win),
+c AS (SELECT *, bool_or(late) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM l),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY n) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id
+"""
