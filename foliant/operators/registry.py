@@ -122,18 +122,31 @@ def overlay(new: str, base: str) -> list[Column]:
 
 
 def with_guess(df: DataFrame) -> DataFrame:
-    """Fill mimetype and extension from each other, else from the content's signature; known UTF-8 gets a charset."""
-    sniffed = F.expr("null").cast("struct<mimetype:string,extension:string>")
-    if "content" in df.columns:
-        from ..functions.ids import sniff
+    """Fill mimetype and extension from each other, and what a row has neither of from its content's signature.
 
-        sniffed = sniff("content")
+    ``_other`` is the signature's guess where it contradicts what the row says.
+    """
+    from ..functions.ids import sniff
+
+    sniffed = F.when(F.length("content") > 0, sniff("content")) if "content" in df.columns else F.lit(None).cast("struct<mimetype:string,extension:string>")
     df = df.withColumn("_sniff", sniffed)
-    ext = F.coalesce(F.col("extension"), extension_of(F.col("mimetype")), F.when(F.col("mimetype").isNull(), F.col("_sniff.extension")))
-    mime = F.coalesce(F.col("mimetype"), mime_of(F.col("extension")), F.when(F.col("extension").isNull(), F.col("_sniff.mimetype")))
-    return df.withColumns({"extension": ext, "mimetype": mime}).drop("_sniff")
+    bare = F.col("extension").isNull() & F.col("mimetype").isNull()
+    ext = F.coalesce(F.col("extension"), extension_of(F.col("mimetype")), F.when(bare, F.col("_sniff.extension")))
+    mime = F.coalesce(F.col("mimetype"), mime_of(F.col("extension")), F.when(bare, F.col("_sniff.mimetype")))
+    df = df.withColumns({"extension": ext, "mimetype": mime})
+    agrees = F.coalesce(F.col("mimetype") == F.col("_sniff.mimetype"), F.lit(True)) & F.coalesce(F.lower("extension") == F.col("_sniff.extension"), F.lit(True))
+    return df.withColumn("_other", F.when(~agrees, F.col("_sniff"))).drop("_sniff")
 
 
 def route(df: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """df (content, mimetype, extension, charset, url) with ``candidates``, the converters to try in order."""
-    return with_guess(df).withColumn("candidates", (registry or Registry()).accepted())
+    """df (content, mimetype, extension, charset, url) with ``candidates``, the converters to try in order.
+
+    Guesses are the outer loop: what the row says first, then what its content
+    looks like if that is something else; within a guess, the rules' order.
+    """
+    rules = registry or Registry()
+    out = with_guess(df).withColumn("_first", rules.accepted()).withColumns({"_ext": F.col("extension"), "_mime": F.col("mimetype")})
+    out = out.withColumns({"extension": F.col("_other.extension"), "mimetype": F.col("_other.mimetype")})
+    out = out.withColumn("_second", F.when(F.col("_other").isNotNull(), rules.accepted()).otherwise(F.array().cast("array<string>")))
+    out = out.withColumns({"extension": F.col("_ext"), "mimetype": F.col("_mime"), "candidates": F.array_distinct(F.concat("_first", "_second"))})
+    return out.drop("_other", "_first", "_second", "_ext", "_mime")

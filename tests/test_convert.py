@@ -76,13 +76,14 @@ CASES = [
 
 def test_convert(spark):
     rows = [(name, bytearray(data), "." + name.split(".")[1], "cp1252" if name == "a.txt" else None) for name, data, *_ in CASES]
-    rows += [("z.zip", bytearray(pack({"in.csv": "a,b\n1,2\n", "no.bin": "x"})), ".zip", None), ("bad.docx", bytearray(b"nonsense"), ".docx", None), ("none.bin", bytearray(b"\xff\xfe\x00\x01"), ".bin", None)]
+    rows += [("z.zip", bytearray(pack({"in.csv": "a,b\n1,2\n", "no.bin": "x"})), ".zip", None), ("bad.docx", bytearray(b"nonsense"), ".docx", None), ("broken.docx", bytearray(b"PK\x03\x04\xff\xfe"), ".docx", None), ("none.bin", bytearray(b"\xff\xfe\x00\x01"), ".bin", None)]
     df = spark.createDataFrame(rows, "document_id string, content binary, extension string, charset string")
     got = {r.document_id: r for r in CV.convert(df).collect()}
     for name, _, converter, want in CASES:
         assert (got[name].status, got[name].converter, got[name].markdown) == ("ok", converter, want), name
     assert "## File: in.csv" in got["z.zip"].markdown and "no.bin" not in got["z.zip"].markdown
-    assert got["bad.docx"].status == "failed" and got["bad.docx"].attempts[0].converter == "docx"
+    assert (got["bad.docx"].converter, got["bad.docx"].attempts[0].converter) == ("text", "docx")  # it looks like text
+    assert got["broken.docx"].status == "failed" and {a.converter for a in got["broken.docx"].attempts} == {"docx", "zip"}
     assert got["none.bin"].status == "unsupported" and got["none.bin"].attempts == []
 
 
