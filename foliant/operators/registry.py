@@ -133,9 +133,11 @@ def with_guess(df: DataFrame) -> DataFrame:
     bare = F.col("extension").isNull() & F.col("mimetype").isNull()
     ext = F.coalesce(F.col("extension"), extension_of(F.col("mimetype")), F.when(bare, F.col("_sniff.extension")))
     mime = F.coalesce(F.col("mimetype"), mime_of(F.col("extension")), F.when(bare, F.col("_sniff.mimetype")))
-    df = df.withColumns({"extension": ext, "mimetype": mime})
-    agrees = F.coalesce(F.col("mimetype") == F.col("_sniff.mimetype"), F.lit(True)) & F.coalesce(F.lower("extension") == F.col("_sniff.extension"), F.lit(True))
-    return df.withColumn("_other", F.when(~agrees, F.col("_sniff"))).drop("_sniff")
+    agrees = F.coalesce(mime == F.col("_sniff.mimetype"), F.lit(True)) & F.coalesce(F.lower(ext) == F.col("_sniff.extension"), F.lit(True))
+    guess = F.struct(ext.alias("extension"), mime.alias("mimetype"), F.when(~agrees, F.col("_sniff")).alias("other"))
+    # a generator of one row: the guess is worked out once, not inside each of the rules above it
+    df = df.select("*", F.explode(F.array(guess)).alias("_guess"))
+    return df.withColumns({"extension": F.col("_guess.extension"), "mimetype": F.col("_guess.mimetype"), "_other": F.col("_guess.other")}).drop("_sniff", "_guess")
 
 
 def route(df: DataFrame, registry: Registry | None = None) -> DataFrame:
