@@ -126,24 +126,32 @@ def _thin(rows: DataFrame, key: Column, wanted: DataFrame, column: str) -> DataF
     return rows.join(F.broadcast(bands), band(key) == F.col("_band"), "left_semi")
 
 
+def _share() -> Column:
+    """PMI of an entity and a term as a share of the entity's information, from both, with_entity, with_term and all."""
+    information = F.log(F.col("all") / F.col("with_entity"))
+    pmi = F.log(F.col("both") * F.col("all") / (F.col("with_entity") * F.col("with_term")))
+    return F.when(information > 0, F.try_divide(pmi, information))
+
+
 def revealing_terms(mentions: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(terms: term, share), and (places: row, term) where the terms that were counted occur.
 
     mentions has row, entity and terms; texts has row and text, one row a document.
     """
     near = mentions.select("row", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = settle(near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "pairs")
+    entities = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    total = texts.agg(F.count("*").alias("all"))
+    # a term is in as many documents at least as have it near some entity: pairs that fall short even so need no count
+    about = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    pairs = pairs.join(entities, "entity").join(about, "term").join(F.broadcast(total)).where(_share() >= GENERALISE)  # total is one row
+    pairs = settle(pairs.select("entity", "term", "both", "with_entity"), "pairs")
     wanted = settle(pairs.select("term").distinct(), "terms")
     words = texts.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
     places = settle(_thin(words, F.col("term"), wanted, "term").join(wanted, "term", "left_semi"), "places")
     counts = places.groupBy("term").agg(F.count("*").alias("with_term"))
-    entities = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = texts.agg(F.count("*").alias("all"))
-    scored = pairs.join(counts, "term").join(entities, "entity").join(F.broadcast(total))  # total is one row
-    information = F.log(F.col("all") / F.col("with_entity"))
-    pmi = F.log(F.col("both") * F.col("all") / (F.col("with_entity") * F.col("with_term")))
-    share = F.when(information > 0, F.try_divide(pmi, information))
-    return scored.groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE), places
+    scored = pairs.join(counts, "term").join(F.broadcast(total))
+    return scored.groupBy("term").agg(F.max(_share()).alias("share")).where(F.col("share") >= GENERALISE), places
 
 
 def term_spans(texts: DataFrame, terms: DataFrame, places: DataFrame) -> DataFrame:
