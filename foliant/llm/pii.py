@@ -38,7 +38,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-NEAR, SUPPORT, GENERALISE, REMOVE, BANDS = 64, 3, 0.8, 0.95, 1 << 16
+NEAR, SUPPORT, GENERALISE, REMOVE, BANDS = 64, 3, 0.8, 0.95, 1 << 18
 WORD = r"\p{L}{3,}+"
 _BLOCK = 256
 
@@ -133,16 +133,17 @@ def _share() -> Column:
     return F.when(information > 0, F.try_divide(pmi, information))
 
 
-def revealing_terms(mentions: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def revealing_terms(mentions: DataFrame, holders: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(terms: term, share), and (places: row, term) where the terms that were counted occur.
 
-    mentions has row, entity and terms; texts has row and text, one row a document.
+    mentions has row, entity and terms; holders has row and words, the distinct
+    words of each document with a mention; texts has row and text of all.
     """
     near = mentions.select("row", "entity", F.explode("terms").alias("term")).distinct()
     entities = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     total = texts.agg(F.count("*").alias("all"))
-    # a term is in as many documents at least as have it near some entity: pairs that fall short even so need no count
-    about = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    # a term is in as many documents at least as have it beside some mention: pairs that fall short even so need no count
+    about = holders.dropDuplicates(["row"]).select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
     pairs = pairs.join(entities, "entity").join(about, "term").join(F.broadcast(total)).where(_share() >= GENERALISE)  # total is one row
     pairs = settle(pairs.select("entity", "term", "both", "with_entity"), "pairs")
@@ -171,10 +172,12 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, row, base and spans (base and method) of every row; a method span that meets a base one is left out."""
     based = base_spans(docs)
     mention = F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), _near(F.col("text"), s).alias("terms")))
-    found = settle(based.select("doc_id", "row", "spans", F.when(F.size("spans") > 0, mention).alias("mentions")), "base")
+    some = F.size("spans") > 0
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    found = settle(based.select("doc_id", "row", "spans", F.when(some, mention).alias("mentions"), F.when(some, words).alias("words")), "base")
     texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     one = found.where(F.size("spans") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.entity", "m.terms")
-    terms, places = revealing_terms(one, texts)
+    terms, places = revealing_terms(one, found.where(F.size("spans") > 0).select("row", "words"), texts)
     more = term_spans(texts, terms, places)
     more = more.select("row", F.array_distinct("more").alias("more"))
     joined = found.join(more, "row", "left")
