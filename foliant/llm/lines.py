@@ -25,6 +25,7 @@ doc_id and text are ignored.  No rows give no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -236,16 +237,31 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _searched(group: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect what is linked among the lines of one band."""
-    left = {x: shingles(t) for x, t in zip(group.line, group.words)}
-    links = []
+    """Links that connect what is linked among the lines of one band.
+
+    Two sets with a similarity of LEAST share one of the rarest shingles of
+    either: as many as may be missing and one more (prefix filter).  So a line
+    is compared only with those not yet reached that share one of its rarest.
+    """
+    names, sets = group.line.tolist(), [shingles(t) for t in group.words]
+    often = Counter(s for x in sets for s in x)
+    heads = [sorted(x, key=lambda s: (often[s], s))[: len(x) - -(-4 * len(x) // 5) + 1] for x in sets]
+    posts: dict[str, list[int]] = {}
+    for i, head in enumerate(heads):
+        for s in head:
+            posts.setdefault(s, []).append(i)
+    left, links = set(range(len(sets))), []
     while left:
-        queue = [left.popitem()]
+        queue = [left.pop()]
         while queue and left:
-            x, own = queue.pop()
-            near = [y for y, other in left.items() if similar(own, other)]
-            links += [(x, y) for y in near]
-            queue += [(y, left.pop(y)) for y in near]
+            i = queue.pop()
+            for s in heads[i]:
+                posts[s] = [j for j in posts[s] if j in left]
+            for j in {j for s in heads[i] for j in posts[s]}:
+                if similar(sets[i], sets[j]):
+                    links.append((names[i], names[j]))
+                    left.discard(j)
+                    queue.append(j)
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 

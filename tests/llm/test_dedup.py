@@ -135,6 +135,26 @@ def test_bands_have_high_recall():
     assert hit >= 198
 
 
+def test_search_of_a_large_band():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    texts_ = []
+    for i in range(90):
+        words = prose(14, 300 + i % 3).replace("\n", " ").split()
+        for k in rng.choice(len(words), rng.integers(0, 4), replace=False):
+            words[k] = words[k] + "x"
+        texts_.append(" ".join(words))
+    texts_ = list(dict.fromkeys(texts_))
+    links = lines._searched(pd.DataFrame({"line": range(len(texts_)), "words": texts_, "key": 1}))
+    sets = [lines.shingles(t) for t in texts_]
+    pairs = {frozenset(p) for p in links.itertuples(index=False, name=None)}
+    assert all(lines.similar(sets[a], sets[b]) for a, b in pairs) and len(texts_) > 40
+    want = _components(sets, lines.similar)
+    got = _components(list(range(len(sets))), lambda a, b: frozenset((a, b)) in pairs)
+    assert len(set(want)) == len(set(got)) == len(set(zip(want, got)))
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     for found in (simhash.near_duplicates(none), simhash.keep_one(none), substring.remove_repeats(none), lines.duplicate_lines(none), lines.remove_lines(none)):
