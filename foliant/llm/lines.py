@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -231,8 +232,9 @@ def similar(a: set, b: set) -> bool:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = lru_cache(1024)(shingles)  # rows come sorted by one line of the pair
     for b in batches:
-        good = [similar(shingles(x), shingles(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        good = [similar(kept(x), kept(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
