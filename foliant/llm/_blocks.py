@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-MAX_BYTES = 1 << 21
+MAX_BYTES = 1 << 20
 U64 = np.uint64
 #: Spaces of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)

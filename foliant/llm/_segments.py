@@ -15,7 +15,7 @@ import numpy as np
 
 from ._blocks import ragged
 
-MOST = 1_500_000
+MOST = 600_000
 
 
 class SegmentTable:

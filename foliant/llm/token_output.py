@@ -77,7 +77,7 @@ class Encoder:
 
     def segments(self, texts: list[str]) -> list[list[int]]:
         known, table, tokenise = self.known, self.symbols, self.model.tokenize
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         out = []
         for text in texts:
