@@ -5,17 +5,20 @@ whole text.  A pattern's places follow from what ``split`` leaves between its
 matches, so no Python runs.
 
 Method: every base value is a protected entity e.  For each term t (a word of
-letters) near a mention, the corpus says how strongly t reveals e:
-``PMI(e; t) = log(N n(e,t) / (n(e) n(t)))`` over documents, as a share of the
-whole information of e, ``IC(e) = log(N / n(e))``.  With at least ``SUPPORT``
-documents that hold t near e, a share of ``GENERALISE`` or more has the term
-generalised wherever it occurs, one of ``REMOVE`` or more removed.  Only what
-stands within ``NEAR`` characters of a mention is paired with it, so the pairs
-grow with the mentions.
+letters) anywhere in a document with e, the corpus says how strongly t reveals
+e: ``PMI(e; t) = log(N n(e,t) / (n(e) (n(t) + SMOOTH)))`` over documents, as a
+share of the whole information of e, ``IC(e) = log(N / n(e))``.  A share of
+``GENERALISE`` or more has the term generalised wherever it occurs, one of
+``REMOVE`` or more removed.  SMOOTH stands for documents not seen that hold t
+without e: entities of one document count, on weaker evidence.
+
+Entities that stand in the same documents are revealed by the same terms; one
+of them is paired for all.  ``n(e,t) <= n(e)`` bounds n(t) from above, so a term
+is paired only with entities that its count allows.
 
 Counts of terms cover all documents.  The terms and rows in question reach
-the scan of all texts as hash bands, ``BANDS`` at most, which are broadcast; an
-exact join follows on what they let through.
+the scan of all texts as a Bloom filter of ``BITS``, which is broadcast; an
+exact join follows on what it lets through.
 
 Rules for unusual rows: a null text counts as empty; such rows return zeros,
 no spans and the hash of nothing.  Rows with the same doc_id and text count as
@@ -38,7 +41,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-NEAR, SUPPORT, GENERALISE, REMOVE, BANDS = 64, 3, 0.8, 0.95, 1 << 18
+SMOOTH, GENERALISE, REMOVE, BITS, FEW = 1, 0.8, 0.95, 1 << 25, 64
 WORD = r"\p{L}{3,}+"
 _BLOCK = 256
 
@@ -109,75 +112,105 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row", "text", F.array_sort(F.concat(*found)).alias("spans"))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Terms within NEAR characters of a span: whole words of letters, nothing out of tokens with digits or @."""
-    left = F.substring(text, F.greatest(F.lit(1), span["start"] - NEAR + 1), F.least(span["start"], F.lit(NEAR)))
-    left = F.when(span["start"] > NEAR, F.regexp_replace(left, r"^\S++", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    right = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"\S++$", "")).otherwise(right)
-    plain = F.regexp_replace(F.lower(F.concat(left, F.lit(" "), right)), r"\S*+(?<=[@0-9])\S*+|\S*?[@0-9]\S*+", " ")
-    return F.array_distinct(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)))
+def _low(text: Column) -> Column:
+    """Lower case of the same length: only the dotted capital I would become two characters."""
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(_low(text), F.lit(WORD), F.lit(0)))
 
 
 def _thin(rows: DataFrame, key: Column, wanted: DataFrame, column: str) -> DataFrame:
-    """The rows whose key may be in wanted[column]: by hash bands, of which there are BANDS at most."""
-    band = lambda c: F.pmod(F.xxhash64(c), F.lit(BANDS)).cast("int")
-    bands = wanted.select(band(F.col(column)).alias("_band")).distinct()
-    return rows.join(F.broadcast(bands), band(key) == F.col("_band"), "left_semi")
+    """The rows whose key may be in wanted[column]: by a Bloom filter of BITS, one row of longs."""
+    spots = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(BITS)) for k in (1, 2)]
+    word = lambda s: F.floor(s / 64).cast("int")
+    spot = wanted.select(F.explode(F.array(*spots(F.col(column)))).alias("s"))
+    held = spot.groupBy(word(F.col("s")).cast("long").alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("b"))
+    every = rows.sparkSession.range(BITS // 64).join(held, "id", "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("w"))
+    bits = every.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["b"]).alias("_bits"))
+    there = [F.getbit(F.get("_bits", word(s)), (s % 64).cast("int")) == 1 for s in spots(key)]
+    return rows.join(F.broadcast(bits), there[0] & there[1], "left_semi")  # bits is one row
+
+
+def _information() -> Column:
+    return F.log(F.col("all") / F.col("with_entity"))
 
 
 def _share() -> Column:
-    """PMI of an entity and a term as a share of the entity's information, from both, with_entity, with_term and all."""
-    information = F.log(F.col("all") / F.col("with_entity"))
-    pmi = F.log(F.col("both") * F.col("all") / (F.col("with_entity") * F.col("with_term")))
-    return F.when(information > 0, F.try_divide(pmi, information))
+    """Smoothed PMI of an entity and a term as a share of the entity's information, from both, with_entity, with_term and all."""
+    pmi = F.log(F.col("both") * F.col("all") / (F.col("with_entity") * (F.col("with_term") + SMOOTH)))
+    return F.when(_information() > 0, F.try_divide(pmi, _information()))
 
 
 def revealing_terms(mentions: DataFrame, holders: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(terms: term, share), and (places: row, term) where the terms that were counted occur.
 
-    mentions has row, entity and terms; holders has row and words, the distinct
-    words of each document with a mention; texts has row and text of all.
+    mentions has row and entity; holders has row and words, the distinct words
+    of each document with a mention; texts has row and text of all.
     """
-    near = mentions.select("row", "entity", F.explode("terms").alias("term")).distinct()
-    entities = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = texts.agg(F.count("*").alias("all"))
-    # a term is in as many documents at least as have it beside some mention: pairs that fall short even so need no count
-    about = holders.dropDuplicates(["row"]).select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    pairs = pairs.join(entities, "entity").join(about, "term").join(F.broadcast(total)).where(_share() >= GENERALISE)  # total is one row
-    pairs = settle(pairs.select("entity", "term", "both", "with_entity"), "pairs")
+    one = mentions.distinct()
+    where = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"where_{k}") for k in (1, 2)]
+    entities = one.groupBy("entity").agg(F.count("*").alias("with_entity"), *where)
+    entities = entities.groupBy("with_entity", "where_1", "where_2").agg(F.min("entity").alias("entity")).select("entity", "with_entity")
+    total = settle(texts.agg(F.count_distinct("row").alias("all")), "total")  # one row
+    words = holders.dropDuplicates(["row"]).select("row", F.explode("words").alias("term"))
+    # a term is in as many documents at least as have a mention besides: pairs that fall short even so need no count
+    about = words.groupBy("term").agg(F.count("*").alias("with_term"))
+    most = entities.agg(F.max("with_entity").alias("with_entity")).join(F.broadcast(total))
+    allowed = lambda: F.log(F.col("all") / (F.col("with_term") + SMOOTH)) >= GENERALISE * _information() - 1e-9
+    about = about.join(F.broadcast(most), allowed()).select("term", "with_term")
+    sides = one.join(entities, "entity").join(F.broadcast(total))
+    met = words.join(about, "term").join(sides, "row").where(allowed())
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("with_entity").alias("with_entity"), F.first("with_term").alias("with_term"), F.first("all").alias("all"))
+    pairs = settle(pairs.where(_share() >= GENERALISE).select("entity", "term", "both", "with_entity"), "pairs")
     wanted = settle(pairs.select("term").distinct(), "terms")
-    words = texts.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    places = settle(_thin(words, F.col("term"), wanted, "term").join(wanted, "term", "left_semi"), "places")
+    all_words = texts.select("row", F.explode(_words(F.col("text"))).alias("term"))
+    places = settle(_thin(all_words, F.col("term"), wanted, "term").join(wanted, "term", "left_semi").distinct(), "places")
     counts = places.groupBy("term").agg(F.count("*").alias("with_term"))
     scored = pairs.join(counts, "term").join(F.broadcast(total))
     return scored.groupBy("term").agg(F.max(_share()).alias("share")).where(F.col("share") >= GENERALISE), places
 
 
+def _term_span(start: Column, kind: Column, value: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("number"), (start + F.length(value)).alias("end"), kind.alias("kind"), value.alias("value"))
+
+
 def term_spans(texts: DataFrame, terms: DataFrame, places: DataFrame) -> DataFrame:
     """row, and spans of the terms in its text."""
-    hits = settle(places.join(terms, "term").select("row", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")), "hits")
-    hit_rows = hits.select("row").distinct()
-    some = _thin(texts, F.col("row"), hit_rows, "row").join(hit_rows, "row", "left_semi")
-    pieces = some.select("row", F.posexplode(F.split("text", r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})", -1)).alias("n", "piece"))
+    kind = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")
+    hits = places.join(terms, "term").select("row", "term", kind)
+    hits = settle(hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds")), "hits")
+    some = _thin(texts.dropDuplicates(["row"]), F.col("row"), hits, "row").join(hits, "row")
+    some = some.withColumn("low", _low(F.col("text")))
+    # few terms: one pattern of them
+    few = some.where(F.size("kinds") <= FEW)
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("kinds"), "|"), F.lit(r")(?!\p{L})"))
+    few = few.withColumn("m", F.regexp_extract_all("low", pattern, F.lit(0)))
+    few = few.withColumn("g", F.call_function("split", F.col("low"), pattern, F.lit(-1)))
+    few = few.withColumn("l", F.zip_with(F.slice("g", F.lit(1), F.size("m")), "m", lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("match"), m.alias("term"))))
+    few = few.where(F.size("l") > 0)
+    value = lambda s, x: F.substring(F.col("text"), s + 1, x["match"])
+    few = few.select("row", F.zip_with("l", _starts(F.col("l")), lambda x, s: _term_span(s, F.element_at("kinds", x["term"]), value(s, x))).alias("more"))
+    # many: all pieces of the text
+    many = some.where(F.size("kinds") > FEW)
+    pieces = many.select("row", "text", "kinds", F.posexplode(F.split("low", r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})", -1)).alias("n", "piece"))
     before = Window.partitionBy("row").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int")).withColumn("term", F.lower("piece"))
-    found = pieces.join(hits, ["row", "term"])
-    span = F.struct("start", F.lit(len(KINDS)).alias("number"), (F.col("start") + F.length("piece")).alias("end"), "kind", F.col("piece").alias("value"))
-    return found.groupBy("row").agg(F.collect_list(span).alias("more"))
+    pieces = pieces.select("row", "piece", F.try_element_at("kinds", F.col("piece")).alias("kind"), F.col("n"))
+    pieces = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int")).where(F.col("kind").isNotNull())
+    found = pieces.groupBy("row").agg(F.collect_list(_term_span(F.col("start"), F.col("kind"), F.col("piece"))).alias("more"))
+    return few.unionByName(found)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, row, base and spans (base and method) of every row; a method span that meets a base one is left out."""
     based = base_spans(docs)
-    mention = F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), _near(F.col("text"), s).alias("terms")))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
     some = F.size("spans") > 0
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    found = settle(based.select("doc_id", "row", "spans", F.when(some, mention).alias("mentions"), F.when(some, words).alias("words")), "base")
+    found = settle(based.select("doc_id", "row", "spans", F.when(some, entities).alias("entities"), F.when(some, _words(F.col("text"))).alias("words")), "base")
     texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    one = found.where(F.size("spans") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.entity", "m.terms")
-    terms, places = revealing_terms(one, found.where(F.size("spans") > 0).select("row", "words"), texts)
+    held = found.where(F.size("spans") > 0)
+    terms, places = revealing_terms(held.select("row", F.explode("entities").alias("entity")), held.select("row", "words"), texts)
     more = term_spans(texts, terms, places)
     more = more.select("row", F.array_distinct("more").alias("more"))
     joined = found.join(more, "row", "left")

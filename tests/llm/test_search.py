@@ -189,6 +189,43 @@ def test_personal_data(spark):
     assert pii.find(table(spark, [])).count() == 0
 
 
+def _revealing(rows):
+    """Spans of revealing terms by brute force: doc_id and text to sorted (start, end, kind)."""
+    docs = {(d, t or "") for d, t, *_ in rows}
+    words = {r: set(re.findall(r"[^\W\d_]{3,}", r[1].lower())) for r in docs}
+    held, inside = defaultdict(set), defaultdict(set)
+    for r in docs:
+        for k, a, b in _base(r[1]):
+            held[k, r[1][a:b].lower()].add(r)
+        for w in words[r]:
+            inside[w].add(r)
+    share = defaultdict(float)
+    for e, own in held.items():
+        for w in set().union(*(words[r] for r in own)):
+            pmi = np.log(len(docs) * len(own & inside[w]) / len(own) / (len(inside[w]) + 1))
+            share[w] = max(share[w], pmi / np.log(len(docs) / len(own)))
+    out = {}
+    for d, t in docs:
+        base = [(a, b) for _, a, b in _base(t)]
+        found = [(m.start(), m.end(), "remove" if share[m.group().lower()] >= 0.95 else "generalise") for m in re.finditer(r"[^\W\d_]{3,}", t) if share[m.group().lower()] >= 0.8]
+        out[d, t] = [f for f in found if not any(a < f[1] and f[0] < b for a, b in base)]
+    return out
+
+
+def test_terms_of_the_whole_document(spark):
+    far = " plain words that all share" * 20
+    rows = [(1000 + i, "plain words that all share", "", "", 1, 0, 0.0, "") for i in range(300)]
+    rows += [(100, f"Zorblax wrote{far} to one@corp.example and two@corp.example", "", "", 1, 0, 0.0, ""), (101, f"ask zorblax{far} here", "", "", 1, 0, 0.0, "")]
+    rows += [(102 + i, f"{far} Quillfeather zorb{far} 10.1.2.3 \u0130stanbul", "", "", 1, 0, 0.0, "") for i in range(2)]
+    rows += [(200 + i, f"boss@corp.example {prose(30, i)}", "", "", 1, 0, 0.0, "") for i in range(25)] + [(300, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(200)) + " a@b.example", "", "", 1, 0, 0.0, "")]
+    rows.append(rows[-1])
+    want = _revealing([(d, t.replace("\u0130", "i")) for d, t, *_ in rows])
+    got = {g.doc_id: [(s.start, s.end, s.kind) for s in g.spans if s.kind in ("remove", "generalise")] for g in pii.find(table(spark, rows)).collect()}
+    assert got == {d: spans for (d, _), spans in want.items()}
+    assert got[100][0][:2] == (0, 7) and got[101][0][:2] == (4, 11) and len(got[300]) == 200
+    assert all(any(s[1] - s[0] == 12 for s in got[102 + i]) for i in range(2)) and got[1000] == []
+
+
 def test_digest(spark, tmp_path):
     table(spark).write.parquet(str(tmp_path / "documents.parquet"))
     for r in pii.op3_pii_sanitise(spark, str(tmp_path)).where("doc_id = 11").collect():
