@@ -9,9 +9,10 @@ each code point, so any prefix's count, the longest prefix within a budget and
 the total are sums, without encoding again.
 
 Long words are cut further wherever their two neighbouring characters are
-adjacent in no piece.  In what still exceeds ``LONG`` bytes, the count is
-stored at its end (the steps inside are 0): exact totals, and prefixes that
-end outside such a run are exact as well.
+adjacent in no piece.  In what still exceeds ``LONG`` bytes, the prefixes are
+counted along the text: the last piece of a prefix is the one that ends there
+and stays apart from the last piece of what it leaves, and a prefix has one
+token more than that.  A text's own U+2581 is a space to the model.
 
 Rules for unusual rows: a null or empty text has 0 bytes and 0 tokens.  Rows
 that repeat each return a row.  A null doc_id stays null.  Columns besides
@@ -32,7 +33,7 @@ from ._blocks import chunks, prefix_sums, ragged, span_hash
 from ._segments import SegmentTable
 from ._tables import load
 
-LONG, LIMIT = 256, 4096
+LONG, LIMIT, PAIRS = 256, 4096, 1 << 18
 MARK = "▁"
 
 
@@ -48,7 +49,10 @@ class Pieces:
         if any(a != MARK and b == MARK for a, b in self.adjacent):
             raise ValueError("a piece holds a space after another character: texts of this model can't be cut at spaces")
         self.base = self.count("x")
-        self.table = SegmentTable(np.int16)
+        self.table = SegmentTable(np.int32)
+        self.score = {p: self.model.get_score(self.model.piece_to_id(p)) for p in names}
+        self.longest = max(map(len, names), default=1)
+        self.together: dict[tuple[str, str], bool] = {}
 
     def count(self, text: str) -> int:
         return len(self.model.encode(text))
@@ -63,6 +67,40 @@ class Pieces:
         cuts = [k for k in range(2, len(word)) if shown[k - 1 : k + 1] not in self.adjacent]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
+    def apart(self, left: str, right: str) -> bool:
+        """Whether two pieces side by side are what their joint text is merged to: best score first, then leftmost."""
+        key = (left, right)
+        if key not in self.together:
+            if len(self.together) > PAIRS:
+                self.together.clear()
+            parts = list(left + right)
+            while True:
+                pairs = [(-self.score[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in self.score]
+                if not pairs:
+                    break
+                k = min(pairs)[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            self.together[key] = parts == [left, right]
+        return self.together[key]
+
+    def prefixes(self, part: str, inner: bool) -> list[int]:
+        """Counts of all prefixes of a long part."""
+        head = "x\n" if inner else "x"
+        shown, counts, last = part.replace(" ", MARK), [0], [""]
+        for j in range(1, len(shown) + 1):
+            for n in range(min(self.longest, j), 0, -1):
+                piece = shown[j - n : j]
+                if piece in self.score and (not last[j - n] or self.apart(last[j - n], piece)):
+                    counts.append(counts[j - n] + 1)
+                    break
+            else:  # a character of no piece
+                piece = shown[j - 1]
+                counts.append(counts[j - 1] + self.count("x\n" + piece) - self.count("x\n"))
+            last.append(piece)
+        if counts[-1] != self.count(head + part) - self.count(head):  # not a model of ranked merges: the library counts each
+            return [self.count(head + part[:j]) - self.count(head) for j in range(1, len(part) + 1)]
+        return counts[1:]
+
     def steps(self, words: list[str]) -> list[list[int]]:
         """For each word (spaces first), the change of the count at each of its code points."""
         pieces: list[tuple[int, str, bool]] = []
@@ -73,8 +111,9 @@ class Pieces:
                 pieces.append((i, w, False))
         asked: dict[tuple[str, bool], int] = {}
         for _, p, inner in pieces:
-            for j in range(1, len(p) + 1) if len(p.encode()) <= LONG else (len(p),):
-                asked.setdefault((p[:j], inner), 0)
+            if len(p.encode()) <= LONG:
+                for j in range(1, len(p) + 1):
+                    asked.setdefault((p[:j], inner), 0)
         plain, inner = [k for k in asked if not k[1]], [k for k in asked if k[1]]
         asked.update(zip(plain, self.counts([k[0] for k in plain])))
         # a part that begins inside a word: a line break, which no piece holds, parts it from the "x"
@@ -83,8 +122,8 @@ class Pieces:
         out: list[list[int]] = [[] for _ in words]
         for i, p, inside in pieces:
             last = 0
-            for j in range(1, len(p) + 1):
-                now = asked.get((p[:j], inside), last)
+            counts = [asked[p[:j], inside] for j in range(1, len(p) + 1)] if len(p.encode()) <= LONG else self.prefixes(p, inside)
+            for now in counts:
                 out[i].append(now - last)
                 last = now
         return out
@@ -120,9 +159,10 @@ def prefix_steps(model: Pieces, buf: np.ndarray, off: np.ndarray) -> tuple[np.nd
     return flat[keep], points
 
 
-def _direct(model: Pieces, text: str) -> list[int]:
-    """Steps of a text that holds the model's own space mark: the whole of it at its end."""
-    return [0] * (len(text) - 1) + [model.count(text)]
+def _direct(model: Pieces, text: str) -> np.ndarray:
+    """Steps of a text that holds the model's own space mark: those of the text with spaces."""
+    data = text.replace(MARK, " ").encode()
+    return prefix_steps(model, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
 
 
 def _counter(path: str, with_steps: bool) -> Callable:
@@ -133,35 +173,35 @@ def _counter(path: str, with_steps: bool) -> Callable:
             edges = np.r_[0, np.cumsum(points)]
             sums = np.r_[0, np.cumsum(steps, dtype=np.int64)]
             total = sums[edges[1:]] - sums[edges[:-1]]
-            own: dict[int, list[int]] = {}
+            own: dict[int, np.ndarray] = {}
             if mark in (data := buf.tobytes()):
                 for i in range(len(points)):
                     if mark in (part := data[off[i] : off[i + 1]]):
                         own[i] = _direct(model, part.decode())
-                        total[i] = sum(own[i])
+                        total[i] = own[i].sum(dtype=np.int64)
             cols = [rows.column(0), pa.array(np.diff(off)), pa.array(total)]
             if with_steps:
-                packed = steps.astype("<i2")
-                cols.append(pa.array([np.array(own[i], "<i2").tobytes() if i in own else packed[edges[i] : edges[i + 1]].tobytes() for i in range(len(points))], pa.binary()))
+                packed = steps.astype("<i4")
+                cols.append(pa.array([own[i].astype("<i4").tobytes() if i in own else packed[edges[i] : edges[i + 1]].tobytes() for i in range(len(points))], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", "steps"][: len(cols)])
 
     return run
 
 
 def prefix_counts(docs: DataFrame, model: str, with_steps: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and steps (little-endian 16-bit change of the count at each code point) of every row."""
+    """doc_id, n_bytes, n_tokens and steps (little-endian 32-bit change of the count at each code point) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_counter(model, with_steps), "doc_id long, n_bytes long, n_tokens long" + ", steps binary" * with_steps)
 
 
 def count_at(steps: bytes, points: int) -> int:
     """Tokens of the prefix of so many code points."""
-    return int(np.frombuffer(steps, "<i2")[:points].sum(dtype=np.int64))
+    return int(np.frombuffer(steps, "<i4")[:points].sum(dtype=np.int64))
 
 
 def longest_within(steps: bytes, budget: int) -> int:
     """Code points of the longest prefix that has at most ``budget`` tokens."""
-    counts = np.r_[0, np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64)]
+    counts = np.r_[0, np.cumsum(np.frombuffer(steps, "<i4"), dtype=np.int64)]
     return int(np.flatnonzero(counts <= budget)[-1])
 
 

@@ -1,5 +1,6 @@
 """Token output and token counts against the libraries, byte for byte."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -71,6 +72,23 @@ def test_every_prefix(spark):
     assert token_counts.longest_within(row.steps, 20) == max(j for j in range(cut) if want[j] <= 20)
 
 
+def test_every_prefix_of_marks_and_long_runs(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(3)
+    texts = [" ▁▁mark " + prose(10, 4) + "▁ end▁", "head " + "".join(rng.choice("abetinsor") for _ in range(400)), "".join(rng.choice("aeß中Ωst\U0001f600") for _ in range(300)), " " * 300 + "x", "-=" * 200]
+    long = ["b" * 100_000, "▁ " + "x " * 40_000]
+    rows = token_counts.prefix_counts(spark.createDataFrame(list(enumerate(texts + long)), "doc_id long, text string"), PIECES).collect()
+    for r in rows:
+        text = (texts + long)[r.doc_id]
+        assert r.n_tokens == len(library.encode(text)) == token_counts.count_at(r.steps, len(text))
+        at = range(len(text) + 1) if r.doc_id < len(texts) else (1, 300, 70_001)
+        want = [len(library.encode(text[:j])) for j in at]
+        assert [token_counts.count_at(r.steps, j) for j in at] == want
+        if r.doc_id < len(texts):
+            assert token_counts.longest_within(r.steps, 9) == max(j for j in at if want[j] <= 9)
+    assert max(r.n_tokens for r in rows) > 32767
+
+
 def test_empty_tables(spark):
     assert token_output.write_and_read(table(spark, []), BPE).count() == 0
     assert token_counts.prefix_counts(table(spark, []), PIECES).count() == 0
