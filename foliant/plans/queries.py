@@ -293,7 +293,7 @@ def email_markdown(spark, sf_dir):
 
 @query(r"""SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS raw, '/k' AS pointer FROM events WHERE event_id < 500000""")
 def json_flatten(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where("event_id < 500000").select(F.col("event_id").alias("document_id"), F.col("props").cast("binary").alias("content"))
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("document_id"), F.col("props").cast("binary").alias("content"))
     return CV.json_values(e).where("pointer = '/k'").select(F.col("document_id").alias("event_id"), "raw", "pointer")
 
 
