@@ -482,7 +482,7 @@ def import_integrity(spark, sf_dir):
 
 
 def _words(spark, sf_dir):
-    rows = _rows(spark, sf_dir).where("row < 40")
+    rows = _rows(spark, sf_dir)
     cells = F.array(F.col("o_orderkey").cast("string"), F.col("row").cast("string"), F.col("o_orderstatus"))
     return rows.select("document_id", F.lit(1).alias("page"), F.lit(612.0).alias("width"), F.posexplode(cells).alias("c", "text"), "row").select("document_id", "page", "width", "text", (F.col("c") * 150.0 + 40).cast("double").alias("x0"), (F.col("c") * 150.0 + 90).cast("double").alias("x1"), (F.col("row") * 20.0 + F.col("c")).cast("double").alias("top"))
 
