@@ -63,16 +63,16 @@ def _missing(refs: DataFrame, ref: str, found: DataFrame, key: str, code: str, s
     return _violation(refs.where(F.col(ref).isNotNull()).join(there, ["document_id", ref], "left_anti"), code, subject or ref)
 
 
-def cycles(nodes: DataFrame, rounds: int = 64) -> DataFrame:
+def cycles(nodes: DataFrame) -> DataFrame:
     """(document_id, node_id) of nodes on a cycle of parents or below one.
 
     Pointer doubling: after k rounds a node knows its ancestor 2**k steps up;
-    those that still have one after more steps than the depth bound are on or
-    below a cycle.  Each round is one equi-join, settled before the next one.
+    those that still have one after more steps than their document has nodes, at
+    most, are on or below a cycle.  Each round is one equi-join, settled before the next one.
     """
     up = nodes.select("document_id", "node_id", F.col("parent_id").alias("far")).where("far is not null")
-    steps = max(1, math.ceil(math.log2(rounds)))
-    for _ in range(steps):
+    most = nodes.groupBy("document_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length()):
         other = up.select("document_id", F.col("node_id").alias("far"), F.col("far").alias("farther"))
         up = settle(up.join(other, ["document_id", "far"]).select("document_id", "node_id", F.col("farther").alias("far")), "ancestors")
         if up.isEmpty():
@@ -80,7 +80,7 @@ def cycles(nodes: DataFrame, rounds: int = 64) -> DataFrame:
     return up.select("document_id", "node_id")
 
 
-def validate(t: dict[str, DataFrame], max_depth: int = 64) -> DataFrame:
+def validate(t: dict[str, DataFrame]) -> DataFrame:
     """All violations (document_id, code, subject) of a star of tables.
 
     Tables: documents, canvases, nodes, children (document_id, node_id, child_id),
@@ -112,7 +112,7 @@ def validate(t: dict[str, DataFrame], max_depth: int = 64) -> DataFrame:
     down = _violation(said.where(~F.col("parent_id").eqNullSafe(F.col("node_id"))), "node.parent_child_mismatch", "child_id")
     up = nodes.where("parent_id is not null").select("document_id", F.col("parent_id"), F.col("node_id").alias("child_id")).join(nodes.select("document_id", F.col("node_id").alias("parent_id")), ["document_id", "parent_id"], "left_semi")
     lone = up.join(children.select("document_id", F.col("node_id").alias("parent_id"), "child_id"), ["document_id", "parent_id", "child_id"], "left_anti")
-    out += [down.unionByName(_violation(lone, "node.parent_child_mismatch", "child_id")).distinct(), _violation(cycles(nodes, max_depth), "node.cycle", "node_id")]
+    out += [down.unionByName(_violation(lone, "node.parent_child_mismatch", "child_id")).distinct(), _violation(cycles(nodes), "node.cycle", "node_id")]
     if "provenance" in t:
         out.append(_missing(t["provenance"], "canvas_index", canvases, "index", "provenance.missing_canvas", "node_id"))
     for name, key, code in (("resources", "resource_id", "resource"), ("payloads", "payload_id", "native_payload")):

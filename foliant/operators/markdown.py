@@ -105,22 +105,25 @@ def render_chart(title: Column, categories: Column, values: Column) -> Column:
     return F.concat(F.lit("### Chart: "), title, F.lit("\n\n"), points)
 
 
-def preorder(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
+def preorder(nodes: DataFrame) -> DataFrame:
     """nodes (document_id, node_id, parent_id, order, canvas_index) reached from roots, with their ``path`` of orders.
 
-    One equi-join a level, settled before the next; the first level without
-    nodes ends the walk, and the depth is a bound, so cycles can't run on.
+    One equi-join a level, settled before the next, until a level has no nodes.
+    A node is not taken again below itself, so cycles can't run on.
     """
-    level = nodes.where("parent_id is null").withColumn("path", F.array(F.col("canvas_index").cast("long"), F.col("order").cast("long")))
-    out = level
+    level = nodes.where("parent_id is null").withColumn("path", F.array(F.col("canvas_index").cast("long"), F.col("order").cast("long"))).withColumn("_line", F.array("node_id"))
+    out, depth = level, 1
     below = nodes.where("parent_id is not null")
-    for _ in range(max_depth - 1):
-        parents = level.select("document_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_up"))
-        level = settle(below.join(parents, ["document_id", "parent_id"]).withColumn("path", F.concat("_up", F.array(F.col("order").cast("long")))).drop("_up").select(*out.columns), "level")
+    while True:
+        parents = level.select("document_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_up"), F.col("_line").alias("_above"))
+        down = below.join(parents, ["document_id", "parent_id"]).where(~F.coalesce(F.array_contains("_above", F.col("node_id")), F.lit(False)))
+        down = down.withColumn("path", F.concat("_up", F.array(F.col("order").cast("long")))).withColumn("_line", F.concat("_above", F.array("node_id")))
+        level, depth = settle(down.select(*out.columns), "level"), depth + 1
         if level.isEmpty():
-            break
+            return out.drop("_line")
         out = out.unionByName(level)
-    return out
+        if depth % 32 == 0:  # the plan doesn't grow with the depth
+            out = settle(out, "levels")
 
 
 def projection_blocks(nodes: DataFrame) -> DataFrame:

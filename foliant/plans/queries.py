@@ -342,7 +342,7 @@ def validate_cycle(spark, sf_dir):
     ring = o.withColumn("up", F.coalesce(F.lag("k").over(w), F.max("k").over(Window.partitionBy("document_id"))))
     chain = o.withColumn("up", F.lag("k").over(w)).select("document_id", F.concat(F.lit("c"), "k").alias("node_id"), F.concat(F.lit("c"), "up").alias("parent_id"))
     nodes = ring.select("document_id", F.col("k").cast("string").alias("node_id"), F.col("up").cast("string").alias("parent_id"))
-    return ir.cycles(nodes.unionByName(chain), 1 << 12)
+    return ir.cycles(nodes.unionByName(chain))
 
 
 def _capabilities(spark, sf_dir):
@@ -446,7 +446,7 @@ def _projected(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
     nodes = d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("order", "text")).where(F.trim("text") != "")
     nodes = nodes.select("document_id", F.concat(F.lit("n"), F.col("order").cast("string")).alias("node_id"), F.lit(None).cast("string").alias("parent_id"), "order", F.lit(0).alias("canvas_index"), F.lit("text").alias("kind"), F.when(F.col("order") == 0, "title").otherwise("paragraph").alias("semantic_role"), F.regexp_replace("text", "[*`]", "").alias("text"))
-    return markdown.projection_blocks(markdown.preorder(nodes, 2))
+    return markdown.projection_blocks(markdown.preorder(nodes))
 
 
 _LINES = r"""SELECT doc_id AS d, n, regexp_replace(x, '[*`]', '', 'g') AS x FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(x) <> ''"""
