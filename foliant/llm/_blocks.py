@@ -8,7 +8,9 @@ task does not depend on how many rows the batch has.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,6 @@ U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_P, _MASK = 0x9E3779B97F4A7C1B, (1 << 64) - 1
-_PI = pow(_P, -1, 1 << 64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (the splitmix64 constants)."""
     x = x.astype(U64)
@@ -34,20 +32,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-_powers: dict[int, np.ndarray] = {}
+#: Content hashes are polynomials over the field of integers modulo 2**31 - 1, one for each of these bases.
+PRIME, BASES = (1 << 31) - 1, (0x2C9277B5, 0x5F356495)
+_PRIME, _DOWN, _STRIDE = U64(PRIME), U64(31), 1 << 15
+_BYTES = [mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(k)) % U64(PRIME - 1) + U64(1) for k in range(len(BASES))]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME."""
+    out = np.ones(n, U64)
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        out[have : have + step] = out[:step] * U64(pow(base, have, PRIME)) % _PRIME
+        have += step
+    return out
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest table asked for is kept."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, MAX_BYTES + 1), base & _MASK, U64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=U64)
-        if n <= 4 * MAX_BYTES:
-            _powers[base] = have
-    return have[:n]
+_FORWARD = [_powers(b, _STRIDE) for b in BASES]
+_BACK = [_powers(pow(b, -1, PRIME), _STRIDE) for b in BASES]
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +68,22 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def lean(run: Callable) -> Callable:
+    """An Arrow function that gives its task's memory back to the machine when it ends: workers outlive their tasks."""
+
+    @wraps(run)
+    def with_end(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return with_end
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = MAX_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of whole rows of about max_bytes of text."""
     for batch in batches:
@@ -94,16 +113,31 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
-    """Sums from which span_hash() takes the hash of any span in O(1)."""
-    sums = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE[buf] * powers(_P, len(buf)), out=sums[1:])
-    return sums
+    """Sums, a row for each base, from which span_hash() takes the hash of any span in O(1)."""
+    out = np.zeros((len(BASES), len(buf) + 1), U64)
+    for k, base in enumerate(BASES):
+        for i in range(0, len(buf), _STRIDE):
+            part = buf[i : i + _STRIDE]
+            # place i + j has base**i * base**j; a term of 62 bits is brought under 2**32, so that 2**31 of them can be summed
+            term = _BYTES[k][part] * (_FORWARD[k][: len(part)] * U64(pow(base, i, PRIME)) % _PRIME if i else _FORWARD[k][: len(part)])
+            over = term >> _DOWN
+            term &= _PRIME
+            term += over
+            np.cumsum(term, out=out[k, i + 1 : i + 1 + len(part)])
+            out[k, i + 1 : i + 1 + len(part)] += out[k, i]
+    return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit content hash of each span, independent of where it stands."""
-    h = (sums[end] - sums[start]) * powers(_PI, len(sums))[start]
-    return mix(h ^ ((end - start).astype(U64) << U64(48)))
+    """64-bit content hash of each span, independent of where it stands: two polynomials modulo a prime, and the length."""
+    h = np.zeros(len(start), U64)
+    low, high = start & (_STRIDE - 1), start >> 15
+    for k, base in enumerate(BASES):
+        one = (sums[k][end] - sums[k][start]) % _PRIME * _BACK[k][low] % _PRIME
+        if sums.shape[1] > _STRIDE:
+            one = one * _powers(pow(base, -_STRIDE, PRIME), (sums.shape[1] >> 15) + 1)[high] % _PRIME
+        h = h << U64(32) | one
+    return mix(h ^ (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def rolled(values: np.ndarray, k: int, base: int) -> np.ndarray:

@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         got = spark.sparkContext.getCheckpointDir()
         if not got:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
             got = tempfile.mkdtemp(prefix="foliant-")
             spark.sparkContext.setCheckpointDir(got)
         found = got
@@ -45,6 +47,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(df: DataFrame, most: int = 32 << 20) -> int:
+    """Buckets that hold about ``most`` bytes of what df reads, and not fewer than the shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # Spark gives a table of unknown size the largest long
+    return max(4, partitions(df.sparkSession), min(1 << 20, -(-known // most)))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

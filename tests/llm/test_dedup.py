@@ -73,10 +73,18 @@ def test_ring_finds_every_close_pair():
         x, y = simhash.key_links(row[order], fp[order])
         links |= {frozenset(p) for p in zip(x.tolist(), y.tolist())}
     assert all(frozenset((p, q)) in links or p == q for p, q in zip(a.tolist(), b.tolist()))
-    big = np.sort(np.uint64(7) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
-    big = np.r_[big, big ^ np.uint64(1 << 40)]
-    x, y = simhash._links_of_large(big)
-    assert len({*x.tolist(), *y.tolist()}) == len(set(big.tolist()))
+    # keys of many fingerprints: the same components, whether a key is searched or paired
+    big = np.uint64(7) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    big = np.unique(np.r_[big, big ^ np.uint64(1 << 40), big ^ np.uint64(0xFF << 30), rng.integers(0, 1 << 63, 40, dtype=np.uint64)])
+    want = _components(big.tolist(), lambda p, q: (p ^ q).bit_count() <= 4)
+    for small in (2, 64):
+        joined = set()
+        for row in simhash.ring_keys(big):
+            order = np.lexsort((big, row))
+            x, y = simhash.key_links(row[order], big[order], small)
+            joined |= {frozenset(p) for p in zip(x.tolist(), y.tolist())}
+        got = _components(big.tolist(), lambda p, q: frozenset((p, q)) in joined)
+        assert len(set(want)) == len(set(got)) == len(set(zip(want, got)))
 
 
 def _substring(rows):
@@ -104,13 +112,21 @@ def test_substring(spark):
     assert Counter((g.doc_id, g.n_words, g.n_removed, hashlib.sha256(g.kept.encode()).hexdigest()) for g in got) == _substring(rows)
 
 
+def _line_set(text: str) -> set[str]:
+    return {text[i : i + 7] for i in range(max(1, len(text) - 6))}
+
+
+def _line_similar(a: set, b: set) -> bool:
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
 def test_lines(spark):
     base = [prose(40, 70).replace("\n", " "), prose(35, 71).replace("\n", " ")]
     rows = texts() + [(200 + i, "\n".join([base[0].replace("alpha", "alpha" * (1 + (i % 4 == 1)), 1), "", "  " + base[1] + " ", f"own line {prose(6, i)}"]), "en", "a", 1, 0, 0.0, "") for i in range(25)]
     got = {(g.doc_id, g.text_hash): g for g in lines.duplicate_lines(table(spark, rows)).collect()}
     spots = sorted({(r[0] is None, r[0] or 0, i, r[1] or "", x.strip(SPACES)) for r in rows for i, x in enumerate((r[1] or "").split("\n")) if x.strip(SPACES)}, key=lambda s: s[:3])
     distinct = list(dict.fromkeys(s[4] for s in spots))
-    roots = dict(zip(distinct, _components([lines.shingles(x) for x in distinct], lines.similar)))
+    roots = dict(zip(distinct, _components([_line_set(x) for x in distinct], _line_similar)))
     first = {}
     for s in spots:
         first.setdefault(roots[s[4]], s[:3])
@@ -146,11 +162,11 @@ def test_search_of_a_large_band():
             words[k] = words[k] + "x"
         texts_.append(" ".join(words))
     texts_ = list(dict.fromkeys(texts_))
-    links = lines._searched(pd.DataFrame({"line": range(len(texts_)), "words": texts_, "key": 1}))
-    sets = [lines.shingles(t) for t in texts_]
+    links = lines._searched(pd.DataFrame({"line": range(len(texts_)), "words": [t.encode() for t in texts_], "key": 1}))
+    sets = [_line_set(t) for t in texts_]
     pairs = {frozenset(p) for p in links.itertuples(index=False, name=None)}
-    assert all(lines.similar(sets[a], sets[b]) for a, b in pairs) and len(texts_) > 40
-    want = _components(sets, lines.similar)
+    assert all(_line_similar(sets[a], sets[b]) for a, b in pairs) and len(texts_) > 40
+    want = _components(sets, _line_similar)
     got = _components(list(range(len(sets))), lambda a, b: frozenset((a, b)) in pairs)
     assert len(set(want)) == len(set(got)) == len(set(zip(want, got)))
 

@@ -76,7 +76,7 @@ def _distance(item, text):
 
 def test_no_region_within_the_budget_is_lost():
     rng = np.random.default_rng(8)
-    items = decontaminate.Items([(k, prose(12 + k, 80 + k)) for k in range(6)], 0.1)
+    items = decontaminate.Items([(k, decontaminate.normal(prose(12 + k, 80 + k))) for k in range(6)], 0.1)
     for trial in range(40):
         k = trial % 6
         body = list(" ".join(items_text(k).split()))
@@ -90,6 +90,35 @@ def test_no_region_within_the_budget_is_lost():
         assert found == want
 
 
+def test_short_items_have_the_same_rate():
+    rng = np.random.default_rng(18)
+    for m in range(1, 41):
+        item = "".join(rng.choice(list("abcdefgh"), m))
+        (items,) = decontaminate.Items.by_size([(m, item)], 0.1)
+        assert items.edits[0] == m // 10 and m - items.q + 1 - items.q * items.edits[0] >= 1
+        for _ in range(12):
+            body = list(item)
+            for _ in range(rng.integers(0, m // 10 + 2)):
+                at = int(rng.integers(0, len(body))) if body else 0
+                body[at : at + int(rng.integers(0, 2))] = ["", "#"][rng.integers(0, 2)]
+            text = "".join(rng.choice(list("abcdefgh"), 30)) + "".join(body) + "".join(rng.choice(list("abcdefgh"), 30))
+            x = decontaminate.normal(text)
+            assert bool(items.matches(x, np.array([0, len(x)]))) == (_distance(item, text) <= m // 10), (item, text)
+
+
+def test_long_repetitive_texts_take_bounded_memory():
+    import tracemalloc
+
+    (items,) = decontaminate.Items.by_size([(1, "-" * 100)], 0.1)
+    for text in ("-" * 1_000_000, "=-" * 100_000 + "-" * 100):
+        x = decontaminate.normal(text)
+        tracemalloc.start()
+        assert items.matches(x, np.array([0, len(x)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 400 << 20
+
+
 def items_text(k):
     return prose(12 + k, 80 + k)
 

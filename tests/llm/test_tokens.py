@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from foliant.llm import token_counts, token_output
+from foliant.llm import _blocks, _segments, token_counts, token_output
 
 from ._rows import prose, table, texts
 
@@ -92,3 +92,36 @@ def test_every_prefix_of_marks_and_long_runs(spark):
 def test_empty_tables(spark):
     assert token_output.write_and_read(table(spark, []), BPE).count() == 0
     assert token_counts.prefix_counts(table(spark, []), PIECES).count() == 0
+
+
+def _complementary(n: int = 1024) -> tuple[str, str]:
+    """Two words of the same length whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    marks = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[m] for m in marks), "".join("ba"[m] for m in marks)
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    one, two = _complementary()
+    for at in (0, 1, 40_000):
+        buf = np.frombuffer((" " * at + one + " " + two).encode(), np.uint8)
+        start = np.array([at, at + 1025])
+        h = _blocks.span_hash(_blocks.prefix_sums(buf), start, start + 1024)
+        assert h[0] != h[1]
+        again = _blocks.span_hash(_blocks.prefix_sums(buf[at:]), start - at, start - at + 1024)
+        assert (h == again).all()
+    rows = [(1, one), (2, two), (3, f"x {one} y"), (4, f"x {two} y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    library, pieces = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert {(r.doc_id, r.ids_crc32) for r in token_output.write_and_read(docs, BPE).collect()} == {(d, crc(t)) for d, t in rows}
+    assert {(r.doc_id, r.n_tokens) for r in token_counts.prefix_counts(docs, PIECES).collect()} == {(d, len(pieces.encode(t))) for d, t in rows}
+
+
+def test_segments_with_equal_hashes():
+    table_ = _segments.SegmentTable(np.uint32)
+    buf = np.frombuffer(b"one two six one", np.uint8)
+    start, end = np.array([0, 4, 8, 12]), np.array([3, 7, 11, 15])
+    same = np.full(4, 5, np.uint64)
+    for _ in range(2):
+        at, size = table_.lookup(buf, start, end, same, lambda texts_: [[ord(c) for c in t] for t in texts_])
+        assert bytes(table_.gather(at, size).astype(np.uint8)) == b"onetwosixone"
