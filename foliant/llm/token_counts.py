@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import chunks, prefix_sums, ragged, span_hash
+from ._blocks import chunks, lean, prefix_sums, ragged, span_hash
 from ._segments import SegmentTable
 from ._tables import load
 
@@ -185,7 +185,7 @@ def _counter(path: str, with_steps: bool) -> Callable:
                 cols.append(pa.array([own[i].astype("<i4").tobytes() if i in own else packed[edges[i] : edges[i + 1]].tobytes() for i in range(len(points))], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", "steps"][: len(cols)])
 
-    return run
+    return lean(run)
 
 
 def prefix_counts(docs: DataFrame, model: str, with_steps: bool = True) -> DataFrame:

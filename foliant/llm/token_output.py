@@ -36,11 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._blocks import chunks, ids as long_ids, prefix_sums, span_hash
+from ._blocks import chunks, lean, prefix_sums, span_hash
 from ._segments import SegmentTable
 from ._tables import drop_path, load, new_path
 
-END_ID, BLOCK, SHARD = 2, 1024, 1 << 20
+END_ID, BLOCK, SHARD = 2, 1024, 1 << 19
+#: Bytes of text that are encoded at a time, and pre-tokens whose ids a worker keeps.
+CHUNK, KNOWN = 1 << 19, 50_000
 HEAD = struct.Struct("<4sBBHIIQII")
 U64 = np.uint64
 #: The pattern of byte-level pre-tokenizers (a fixed value of the file format).
@@ -68,6 +70,7 @@ class Encoder:
         self.by_segment = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec["model"].get("dropout")
         self.special = [t["content"].encode() for t in spec.get("added_tokens") or []]
         self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
+        self.space = byte_symbols()[32]
         self.model = self.tokenizer.model
         self.table = SegmentTable(np.uint32)
         self.known: dict[str, list[int]] = {}
@@ -77,10 +80,14 @@ class Encoder:
 
     def segments(self, texts: list[str]) -> list[list[int]]:
         known, table, tokenise = self.known, self.symbols, self.model.tokenize
-        if len(known) > 100_000:
+        if len(known) > KNOWN:
             known.clear()
         out = []
         for text in texts:
+            # a space and letters are one pre-token, and the space has a stand-in of its own
+            if text[:1] == " " and text[1:].isalpha():
+                out.append([t.id for t in tokenise(self.space + text[1:] if text.isascii() else text.encode().decode("latin-1").translate(table))])
+                continue
             run: list[int] = []
             for p in PRETOKEN.findall(text):
                 got = known.get(p)
@@ -142,7 +149,7 @@ def encode_texts(model: Encoder, buf: np.ndarray, off: np.ndarray) -> tuple[np.n
 def _encoded(path: str, end_id: int | None, width: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for rows, buf, off in chunks(batches):
+        for rows, buf, off in chunks(batches, max_bytes=CHUNK):
             flat, counts = encode_texts(model, buf, off)
             edges = np.r_[0, np.cumsum(counts)]
             if end_id is not None:
@@ -151,7 +158,7 @@ def _encoded(path: str, end_id: int | None, width: str) -> Callable:
             flat = flat.astype(width)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["doc_id", "ids"])
 
-    return run
+    return lean(run)
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -265,7 +272,7 @@ def _tally(width: str) -> Callable:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    return run
+    return lean(run)
 
 
 def _shards(lengths: bytes, limit: int, width: str) -> Callable:
@@ -296,7 +303,7 @@ def _shards(lengths: bytes, limit: int, width: str) -> Callable:
         if held:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = END_ID) -> None:
@@ -322,23 +329,26 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = E
     drop_path(spark, between)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for base, payload in zip(b.column(0).to_pylist(), b.column(1)):
-            doc, null, counts, ids = unpack_shard(payload.as_py())
-            edges = np.r_[0, np.cumsum(counts, dtype=np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, mask=null.astype(bool)), pa.array(base + edges[:-1]), pa.array(counts.astype(np.int64)), pa.array([ids[i:j].astype("<u4").tobytes() for i, j in zip(edges[:-1], edges[1:])], pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
-            )
+def _read(digest: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for base, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                doc, null, counts, ids = unpack_shard(payload.as_py())
+                edges = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+                words = ids.astype("<u4", copy=False)
+                cut = [words[i:j] for i, j in zip(edges[:-1], edges[1:])]
+                last = pa.array([zlib.crc32(x) for x in cut], pa.int64()) if digest else pa.array([x.tobytes() for x in cut], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null.astype(bool)), pa.array(base + edges[:-1]), pa.array(counts.astype(np.int64)), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
+    return lean(run)
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([zlib.crc32(x.as_buffer()) for x in b.column(3)], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start (ids before the document), n_tokens and ids (little-endian 32-bit) of every document in the shards of ``path``.
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids before the document), n_tokens and ids (little-endian 32-bit) of every document in the shards of ``path``."""
+    With ``digest``, ids_crc32 (unsigned crc32 of the ids) stands in the place of ids.
+    """
+    kind = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary")
     shards = spark.read.schema("part int, seq int, docs long, n long, payload binary").parquet(path)
     sizes = shards.groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row for each partition that was written
     base, starts = 0, []
@@ -346,18 +356,18 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         starts.append((row.part, base))
         base += row.n
     if not starts:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
+        return spark.createDataFrame([], kind)
     before = F.sum("n").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     index = shards.select("part", "seq", F.coalesce(before, F.lit(0)).alias("within"))
     index = index.join(spark.createDataFrame(starts, "part int, base long"), "part").select("part", "seq", (F.col("base") + F.col("within")).alias("start"))
-    return shards.join(index, ["part", "seq"]).select("start", "payload").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.join(index, ["part", "seq"]).select("start", "payload").mapInArrow(_read(digest), kind)
 
 
 def write_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the ids of docs and read the files back: doc_id, start, n_tokens, ids_crc32."""
     path = new_path(docs.sparkSession, "shards")
     write_ids(docs, tokenizer, path)
-    return read_ids(docs.sparkSession, path).mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_ids(docs.sparkSession, path, digest=True)
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
