@@ -5,9 +5,9 @@ brought down to distinct ones.  A distinct line is the set of its 7-character
 shingles (a shorter line: itself).  64 min-hashes make 16 bands of 4: lines
 with a Jaccard similarity of 0.8 share a band in all but 2 of 10,000 cases,
 unrelated ones hardly ever.  Lines that share a band are candidates; each pair
-is verified by the exact Jaccard similarity of the whole sets.  Verified links
-go to the distributed union-find, and of each component only the first line
-(smallest doc_id, then smallest place) stays.
+is verified by the exact Jaccard similarity of the whole sets, as sorted 64-bit
+shingle hashes.  Verified links go to the distributed union-find, and of each
+component only the first line (smallest doc_id, then smallest place) stays.
 
 Bands travel packed: numpy arrays dealt by hash, one key a band and distinct
 line of a task, so a line that a third of all documents hold arrives once from
@@ -25,9 +25,7 @@ doc_id and text are ignored.  No rows give no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,17 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import SPACE, U64, chunks, mix, prefix_sums, ragged, span_hash
+from ._blocks import SPACE, U64, chunks, lean, mix, prefix_sums, ragged, span_hash
 from ._components import components
-from ._tables import fresh, load, partitions, settle
+from ._tables import buckets_for, fresh, load, settle
 
 SHINGLE, BANDS, WIDTH, LEAST = 7, 16, 4, 0.8
 PAIRS = 16
 FLUSH = 1 << 16
 #: Bits of the filter of candidate lines (32 MB at every size) and its probes.
 FILTER_BITS, PROBES = 1 << 28, 4
-_A = (mix(np.arange(1, BANDS * WIDTH + 1, dtype=U64)) | U64(1)).astype(np.uint32)
-_B = mix(np.arange(1001, BANDS * WIDTH + 1001, dtype=U64)).astype(np.uint32)
+_A = mix(np.arange(1, BANDS * WIDTH + 1, dtype=U64)).astype(np.uint32) | np.uint32(1)
+#: Shingles that are hashed at a time, so that they stay in the processor's cache.
+_STEP = 1 << 15
 
 
 def line_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,23 +64,31 @@ def line_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return solid[i[good]], solid[j[good]] + 1, owner[good], place[good]
 
 
+def _rolled(x: np.ndarray) -> np.ndarray:
+    """Hash of every SHINGLE (7) consecutive code points: of pairs, of fours, of two fours that share one."""
+    out = np.empty(max(0, len(x) - SHINGLE + 1), U64)
+    for i in range(0, len(out), _STEP):
+        h = x[i : i + _STEP + SHINGLE - 1].astype(U64)
+        h = h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:]
+        h = h[:-2] * U64(0xC2B2AE3D27D4EB4F) + h[2:]
+        out[i : i + _STEP] = mix(h[:-3] * U64(0x165667B19E3779F9) + h[3:])
+    return out
+
+
 def shingle_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each line, one line after the other, and their numbers."""
     lead = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]
-    points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32).astype(U64)
+    points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
     a, b = lead[start], lead[end]
     count = np.maximum(1, b - a - SHINGLE + 1)
-    h = points.copy()
-    n = len(points)
-    if n >= SHINGLE:
-        roll = points[: n - SHINGLE + 1].copy()
-        for k in range(1, SHINGLE):
-            roll = roll * U64(0x9E3779B97F4A7C15) + points[k : n - SHINGLE + 1 + k]
-        h[: len(roll)] = mix(roll)
-    flat = h[ragged(a, count)]
-    short = np.flatnonzero(b - a < SHINGLE)
-    if len(short):
-        flat[(np.cumsum(count) - count)[short]] = span_hash(prefix_sums(buf), start[short], end[short])
+    roll = _rolled(points)
+    whole = b - a >= SHINGLE
+    if whole.all():
+        return roll[ragged(a, count)], count
+    at = ragged(np.where(whole, a, 0), count)
+    flat = roll[np.minimum(at, max(0, len(roll) - 1))] if len(roll) else np.zeros(len(at), U64)
+    short = np.flatnonzero(~whole)
+    flat[(np.cumsum(count) - count)[short]] = span_hash(prefix_sums(buf), start[short], end[short])
     return flat, count
 
 
@@ -92,30 +99,42 @@ def signatures(flat: np.ndarray, count: np.ndarray) -> np.ndarray:
     out = np.zeros((BANDS, len(count)), U64)
     step = 0
     lines = len(count)
+    room = np.empty(max(_STEP, int(count.max(initial=0))), np.uint32)
     while step < lines:
-        stop = max(step + 1, int(np.searchsorted(at, at[step] + (1 << 16))))
+        stop = max(step + 1, int(np.searchsorted(at, at[step] + _STEP, "right")) - 1)
         part = x[at[step] : at[stop] if stop < lines else len(x)]
+        if len(part) > len(room):
+            room = np.empty(len(part), np.uint32)
+        now = room[: len(part)]
         first = at[step:stop] - at[step]
         for k in range(BANDS * WIDTH):
-            low = np.minimum.reduceat(part * _A[k] + _B[k], first)
-            out[k // WIDTH, step:stop] = out[k // WIDTH, step:stop] * U64(0xD6E8FEB86659FD93) + low
+            np.multiply(part, _A[k], out=now)
+            out[k // WIDTH, step:stop] = out[k // WIDTH, step:stop] * U64(0xD6E8FEB86659FD93) + np.minimum.reduceat(now, first)
         step = stop
     return mix(out ^ (np.arange(BANDS, dtype=U64)[:, None] << U64(56)))
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, buf, off in chunks(batches):
-        start, end, doc, place = line_spans(buf, off)
-        h = span_hash(prefix_sums(buf), start, end).view(np.int64)
-        d = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([rows.column(0).take(d), rows.column(2).take(d), pa.array(place.astype(np.int32)), pa.array(h)], ["doc_id", "text_hash", "place", "line"])
+class Seen:
+    """The hashes that a task has met lately: a bounded number, so one may pass for new again, which does no harm."""
+
+    def __init__(self) -> None:
+        self.have = np.zeros(0, U64)
+
+    def new(self, h: np.ndarray) -> np.ndarray:
+        """Which of the sorted, different hashes are new; they are not from now on."""
+        at = np.searchsorted(self.have, h)
+        new = np.ones(len(h), bool)
+        inside = at < len(self.have)
+        new[inside] = self.have[at[inside]] != h[inside]
+        self.have = np.insert(self.have, at[new], h[new]) if len(self.have) < 1 << 20 else h[new]
+        return new
 
 
 def _band_blobs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         lines: list[np.ndarray] = []
-        seen = np.zeros(0, U64)
+        seen = Seen()
 
         def flush() -> pa.RecordBatch:
             key, line = np.concatenate(keys, axis=1).ravel(), np.tile(np.concatenate(lines), BANDS)
@@ -131,11 +150,10 @@ def _band_blobs(buckets: int):
         for _, buf, off in chunks(batches):
             start, end, _, _ = line_spans(buf, off)
             h, first = np.unique(span_hash(prefix_sums(buf), start, end), return_index=True)
-            new = ~np.isin(h, seen)
+            new = seen.new(h)
             h, first = h[new], first[new]
             if not len(h):
                 continue
-            seen = np.r_[seen, h] if len(seen) < 1 << 20 else h  # bounded: a line may come again, and does no harm
             keys.append(signatures(*shingle_hashes(buf, start[first], end[first])))
             lines.append(h)
             size += len(h)
@@ -145,7 +163,7 @@ def _band_blobs(buckets: int):
         if lines:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 def _band_groups(blobs: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +188,8 @@ def _band_groups(blobs: pd.DataFrame) -> pd.DataFrame:
     none = np.zeros(0, U64)
     pair = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])], 1), axis=0)
     n, m = len(pair), int(large.sum())
-    return pd.DataFrame({"a": np.r_[pair[:, 0], line[large]].view(np.int64), "b": pd.array([*pair[:, 1].view(np.int64).tolist(), *[None] * m], "Int64"), "key": np.r_[np.zeros(n, U64), key[large]].view(np.int64)})
+    b = pd.arrays.IntegerArray(np.r_[pair[:, 1], np.zeros(m, U64)].view(np.int64), np.arange(n + m) >= n)
+    return pd.DataFrame({"a": np.r_[pair[:, 0], line[large]].view(np.int64), "b": b, "key": np.r_[np.zeros(n, U64), key[large]].view(np.int64)})
 
 
 def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -196,111 +215,177 @@ def _filter_of(lines: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def _texts_of(shared):
+def _some_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, good: np.ndarray) -> pa.Array:
+    """The spans under good as a binary column, null elsewhere."""
+    size = np.where(good, end - start, 0)
+    data = buf[ragged(start, size)]
+    off = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(good), [pa.py_buffer(np.packbits(good, bitorder="little").tobytes()), pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _places(shared):
+    """A row for each line that is not blank, and one without a line for each text: its place is the number of lines.
+
+    A line that the filter of candidates lets through comes with its words, once in a task.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         bits = table.shape[1] * 8
-        seen: set[int] = set()
-        for _, buf, off in chunks(batches):
-            start, end, _, _ = line_spans(buf, off)
-            if not len(start):
-                continue
-            h, first = np.unique(span_hash(prefix_sums(buf), start, end).view(np.int64), return_index=True)
-            bucket, good = np.mod(h, len(table)), np.ones(len(h), bool)
-            for p in _probes(h, bits):
+        seen = Seen()
+        for rows, buf, off in chunks(batches):
+            start, end, doc, place = line_spans(buf, off)
+            h = span_hash(prefix_sums(buf), start, end)
+            one, first = np.unique(h, return_index=True)
+            bucket, good = np.mod(one.view(np.int64), len(table)), np.ones(len(one), bool)
+            for p in _probes(one.view(np.int64), bits):
                 good &= (table[bucket, p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-            data = buf.tobytes()
-            out = [(x, data[start[i] : end[i]]) for x, i in zip(h[good].tolist(), first[good]) if x not in seen]
-            seen.update(x for x, _ in out)
-            if len(seen) > 1 << 19:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([t.decode() for _, t in out], pa.string())], ["line", "words"])
-
-    return run
+            n = len(off) - 1
+            shown = np.zeros(len(h) + n, bool)
+            shown[first[good][seen.new(one[good])]] = True
+            words = _some_bytes(buf, np.r_[start, np.zeros(n, np.int64)], np.r_[end, np.zeros(n, np.int64)], shown)
+            breaks = np.searchsorted(off, np.flatnonzero(buf == 10), "right") - 1
+            d = pa.array(np.r_[doc, np.arange(n)])
+            places = np.r_[place, np.bincount(breaks, minlength=n) + 1].astype(np.int32)
+            line = pa.array(np.r_[h.view(np.int64), np.zeros(n, np.int64)], mask=np.r_[np.zeros(len(h), bool), np.ones(n, bool)])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(d), rows.column(2).take(d), pa.array(places), line, words], ["doc_id", "text_hash", "place", "line", "words"])
+
+    return lean(run)
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The shingles of each text as a sorted array of different hashes."""
+    if not texts:
+        return []
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    flat, count = shingle_hashes(buf, np.r_[0, end[:-1]], end)
+    out = []
+    for part in np.split(flat, np.cumsum(count)[:-1]):
+        part = np.sort(part)
+        out.append(part[np.r_[True, part[1:] != part[:-1]]])
+    return out
 
 
-def shingles(text: str) -> set[str]:
-    return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
+def enough(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
+    """Whether sets of a and b elements, ``both`` of them shared, have a similarity of LEAST, in whole numbers."""
+    return 5 * both >= 4 * (a + b - both)
 
 
-def similar(a: set, b: set) -> bool:
-    """Whether the Jaccard similarity is LEAST at least, in whole numbers."""
-    if min(len(a), len(b)) < LEAST * max(len(a), len(b)) - 1e-9:
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is LEAST at least."""
+    n, m = len(a), len(b)
+    if not enough(min(n, m), n, m):
         return False
-    both = len(a & b)
-    return 5 * both >= 4 * (len(a) + len(b) - both)
+    x = np.sort(np.concatenate([a, b]))
+    return bool(enough(int((x[1:] == x[:-1]).sum()), n, m))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = lru_cache(1024)(shingles)  # rows come sorted by one line of the pair
+    """Rows come sorted by the first line of the pair; its set is kept, as are those met lately."""
+    kept: dict[int, np.ndarray] = {}
     for b in batches:
-        good = [similar(kept(x), kept(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-        yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def _searched(group: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect what is linked among the lines of one band.
+        for i in range(0, b.num_rows, 512):
+            rows = b.slice(i, 512)
+            a, c = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            new: dict[int, bytes] = {}
+            for names, texts in ((a, rows.column(2)), (c, rows.column(3))):
+                for name, text in zip(names, texts):
+                    if name not in kept and name not in new:
+                        new[name] = text.as_buffer().to_pybytes()
+            kept.update(zip(new, shingle_sets(list(new.values()))))
+            good = [similar(kept[x], kept[y]) for x, y in zip(a, c)]
+            while len(kept) > 1024:
+                del kept[next(iter(kept))]
+            yield rows.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (numbers of sets) that connect what is linked among the lines of one band.
 
     Two sets with a similarity of LEAST share one of the rarest shingles of
     either: as many as may be missing and one more (prefix filter).  So a line
     is compared only with those not yet reached that share one of its rarest.
     """
-    names, sets = group.line.tolist(), [shingles(t) for t in group.words]
-    often = Counter(s for x in sets for s in x)
-    heads = [sorted(x, key=lambda s: (often[s], s))[: len(x) - -(-4 * len(x) // 5) + 1] for x in sets]
-    posts: dict[str, list[int]] = {}
-    for i, head in enumerate(heads):
-        for s in head:
-            posts.setdefault(s, []).append(i)
-    left, links = set(range(len(sets))), []
-    while left:
-        queue = [left.pop()]
-        while queue and left:
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    edge = np.r_[0, np.cumsum(size)]
+    owner = np.repeat(np.arange(n), size)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    often = np.bincount(codes)
+    rare = np.lexsort((codes, often[codes], owner))
+    place = np.arange(len(codes)) - edge[owner]
+    head = rare[place < (size - -(-4 * size // 5) + 1)[owner]]
+    held, holder = codes[head], owner[head]
+    post = np.argsort(held, kind="stable")
+    post_of, post_at = holder[post], np.searchsorted(held[post], np.arange(len(often) + 1))
+    head_at = np.searchsorted(holder, np.arange(n + 1))
+    left, mark, links = np.ones(n, bool), np.zeros(len(often), bool), []
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue:
             i = queue.pop()
-            for s in heads[i]:
-                posts[s] = [j for j in posts[s] if j in left]
-            for j in {j for s in heads[i] for j in posts[s]}:
-                if similar(sets[i], sets[j]):
-                    links.append((names[i], names[j]))
-                    left.discard(j)
-                    queue.append(j)
-    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
-
-
-def line_links(docs: DataFrame) -> DataFrame:
-    """(a, b): hashes of distinct lines that are similar, enough of them to connect each component."""
-    spark = docs.sparkSession
-    buckets = max(4, partitions(spark))
-    rows = docs.select("doc_id", "text")
-    blobs = rows.mapInArrow(_band_blobs(buckets), "bucket int, key binary, line binary")
+            mine = held[head_at[i] : head_at[i + 1]]
+            near = post_of[ragged(post_at[mine], post_at[mine + 1] - post_at[mine])]
+            near = np.unique(near[left[near]])
+            near = near[enough(np.minimum(size[near], size[i]), size[near], size[i])]
+            if not len(near):
+                continue
+            mark[codes[edge[i] : edge[i + 1]]] = True
+            both = np.add.reduceat(mark[codes[ragged(edge[near], size[near])]].astype(np.int64), np.cumsum(size[near]) - size[near])
+            mark[codes[edge[i] : edge[i + 1]]] = False
+            found = near[enough(both, size[near], size[i])]
+            left[found] = False
+            links += [(i, j) for j in found.tolist()]
+            queue += found.tolist()
+    return links
+
+
+def _searched(group: pd.DataFrame) -> pd.DataFrame:
+    names = group.line.to_numpy(np.int64)
+    links = np.array(search(shingle_sets(group.words.tolist())), np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": names[links[:, 0]], "b": names[links[:, 1]]})
+
+
+def line_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places: doc_id, text_hash, place, line, words of every line, see _places()), and (a, b): hashes of
+    distinct lines that are similar, enough of them to connect each component."""
+    spark = rows.sparkSession
+    buckets = buckets_for(rows)
+    blobs = rows.select("doc_id", "text").mapInArrow(_band_blobs(buckets), "bucket int, key binary, line binary")
     found = settle(blobs.groupBy("bucket").applyInPandas(_band_groups, "a long, b long, key long"), "candidates")
     pairs = found.where("b is not null").select("a", "b").distinct()
     members = found.where("b is null").select(F.col("a").alias("line"), "key")
     all_lines = found.select(F.col("a").alias("line")).unionByName(found.where("b is not null").select(F.col("b").alias("line")))
     shared = spark.sparkContext.broadcast(_filter_of(all_lines, buckets))
-    texts = rows.mapInArrow(_texts_of(shared), "line long, words string")
-    texts = settle(texts.dropDuplicates(["line"]), "lines")
+    places = settle(rows.mapInArrow(_places(shared), "doc_id long, text_hash long, place int, line long, words binary"), "places")
+    texts = settle(places.where("words is not null").select("line", "words").dropDuplicates(["line"]), "lines")
     first = texts.select(F.col("line").alias("a"), F.col("words").alias("x"))
     second = texts.select(F.col("line").alias("b"), F.col("words").alias("y"))
-    verified = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    verified = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lean(_verified), "a long, b long")
     searched = members.join(texts, "line").groupBy("key").applyInPandas(_searched, "a long, b long")
-    return verified.unionByName(searched)
+    return places, verified.unionByName(searched)
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_lines and removed (places of the lines that go, from 0, in order) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    lines = settle(rows.mapInArrow(_lines, "doc_id long, text_hash long, place int, line long").distinct(), "places")
+    found, links = line_links(rows)
+    lines = found.where("line is not null").drop("words")
     spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "text_hash")
     first = lines.groupBy("line").agg(F.min(spot).alias("spot"), F.count("*").alias("n"))
-    roots = settle(components(line_links(rows), "a", "b"), "roots")
-    classed = first.join(roots, first.line == roots.node, "left").select("line", "spot", "n", F.coalesce("root", "line").alias("root"), F.col("root").isNotNull().alias("linked"))
+    roots = settle(components(links, "a", "b"), "roots")
+    # lines that come once and have no link stay; repeated rows have equal spots
+    classed = first.join(roots, first.line == roots.node, "left").where("n > 1 or root is not null").select("line", "spot", F.coalesce("root", "line").alias("root"))
     least = classed.groupBy("root").agg(F.min("spot").alias("keep"))
-    kept = classed.where("n > 1 or linked").join(least, "root").select("line", "keep")
+    kept = classed.join(least, "root").select("line", "keep")
     late = lines.join(kept, "line").where(~spot.eqNullSafe(F.col("keep")))
     gone = late.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("removed"))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "removed")
-    each = rows.select("doc_id", "text_hash", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    each = found.where("line is null").select("doc_id", "text_hash", F.col("place").cast("long").alias("n_lines"))
     each = each.join(gone, each.doc_id.eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
     return each.select("doc_id", "text_hash", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
