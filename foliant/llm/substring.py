@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import chunks, ids, prefix_sums, ragged, rolled, sliding_min, span_hash, word_spans
-from ._tables import load, partitions, settle
+from ._blocks import chunks, ids, lean, mix, prefix_sums, ragged, rolled, sliding_min, span_hash, word_spans
+from ._tables import buckets_for, load, settle
 
 WINDOW, SEED_WORDS = 13, 5
 #: Bits of the whole anchor filter (32 MB) and probes for an anchor: fixed at every size.
@@ -103,7 +103,7 @@ def _anchor_blobs(buckets: int):
         if held:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 def _probes(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -147,14 +147,17 @@ def _pass(table: np.ndarray, bits: int, anchor: np.ndarray) -> np.ndarray:
 
 
 def _window_blobs(buckets: int, shared, bits: int):
-    """Rows (bucket, one, two, row, doc, place, done): places of windows; those under done are settled here."""
+    """Rows (bucket, one, two, mark, doc, place, done): places of windows; those under done are settled here.
+
+    A row of the input is known by its doc_id and ``mark``, 32 bits of its text's hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            one, two, row, doc, place = (np.concatenate(x) for x in zip(*held))
+            one, two, mark, doc, place = (np.concatenate(x) for x in zip(*held))
             held.clear()
             order = np.lexsort((doc, two, one))
             o, t, d = one[order], two[order], doc[order]
@@ -163,17 +166,18 @@ def _window_blobs(buckets: int, shared, bits: int):
             least = d == d[np.flatnonzero(new)][group]
             done = np.zeros(len(one), bool)
             done[order[~least]] = True
-            dealt = np.where(done, U64(0), _bucket(one, buckets))
-            sort = np.lexsort((place, row, done, dealt))
+            # windows that are settled go with others of their document
+            dealt = np.where(done, mix(doc.view(U64)) % U64(buckets), _bucket(one, buckets))
+            sort = np.lexsort((place, mark, doc, done, dealt))
             key = (dealt[sort].astype(np.int64) << 1) | done[sort]
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            cols: dict[str, list] = {k: [] for k in ("bucket", "done", "one", "two", "row", "doc", "place")}
+            cols: dict[str, list] = {k: [] for k in ("bucket", "done", "one", "two", "mark", "doc", "place")}
             for i, j in zip(at, np.r_[at[1:], len(key)]):
                 s = sort[i:j]
                 cols["bucket"].append(int(key[i]) >> 1)
                 cols["done"].append(bool(key[i] & 1))
-                for k, x in (("one", one), ("two", two), ("row", row), ("doc", doc), ("place", place)):
-                    cols[k].append(b"" if key[i] & 1 and k in ("one", "two", "doc") else x[s].tobytes())
+                for k, x in (("one", one), ("two", two), ("mark", mark), ("doc", doc), ("place", place)):
+                    cols[k].append(b"" if key[i] & 1 and k in ("one", "two") else x[s].tobytes())
             kinds = {"bucket": pa.int32(), "done": pa.bool_()}
             return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in cols.items()})
 
@@ -186,7 +190,7 @@ def _window_blobs(buckets: int, shared, bits: int):
             hit = np.repeat(_pass(table, bits, anchor[turn]), np.diff(np.r_[turn, len(anchor)]))
             if hit.any():
                 d = doc[hit]
-                held.append((one[hit], two[hit], rows.column(2).to_numpy(zero_copy_only=False)[d], ids(rows.column(0), LAST)[d], place[hit].astype(np.uint32)))
+                held.append((one[hit], two[hit], rows.column(2).to_numpy(zero_copy_only=False)[d].astype(np.uint32), ids(rows.column(0), LAST)[d], place[hit].astype(np.uint32)))
                 size += len(d)
             if size >= FLUSH:
                 yield flush()
@@ -194,47 +198,47 @@ def _window_blobs(buckets: int, shared, bits: int):
         if held:
             yield flush()
 
-    return run
+    return lean(run)
 
 
-def _runs(row: np.ndarray, place: np.ndarray) -> pd.DataFrame:
-    """Runs of windows: row, and packed pairs of (first place, windows)."""
-    order = np.lexsort((place, row))
-    row, place = row[order], place[order].astype(np.int64)
-    if not len(row):
-        return pd.DataFrame({"row": np.zeros(0, np.int64), "runs": []})
-    cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] > place[:-1] + 1)])
-    last = np.r_[cut[1:], len(row)] - 1
+def _runs(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+    """Runs of windows: doc, mark, and packed pairs of (first place, windows)."""
+    order = np.lexsort((place, mark, doc))
+    doc, mark, place = doc[order], mark[order], place[order].astype(np.int64)
+    if not len(doc):
+        return pd.DataFrame({"doc": np.zeros(0, np.int64), "mark": np.zeros(0, np.int64), "runs": []})
+    other = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+    cut = np.flatnonzero(np.r_[True, other | (place[1:] > place[:-1] + 1)])
+    last = np.r_[cut[1:], len(doc)] - 1
     pairs = np.stack([place[cut], place[last] - place[cut] + 1], 1)
-    owner = row[cut]
-    at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    return pd.DataFrame({"row": owner[at], "runs": [pairs[i:j].tobytes() for i, j in zip(at, np.r_[at[1:], len(owner)])]})
+    at = np.searchsorted(cut, np.flatnonzero(np.r_[True, other]))
+    return pd.DataFrame({"doc": doc[cut[at]], "mark": mark[cut[at]].astype(np.int64), "runs": [pairs[i:j].tobytes() for i, j in zip(at, np.r_[at[1:], len(cut)])]})
 
 
 def _settle_windows(blobs: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """The windows that go, dealt by document: one packed row for each bucket of documents."""
     done, rest = blobs[blobs.done], blobs[~blobs.done]
-    row = [np.frombuffer(x, np.int64) for x in done.row]
-    place = [np.frombuffer(x, np.uint32) for x in done.place]
+    kinds = {"doc": np.int64, "mark": np.uint32, "place": np.uint32}
+    found = {c: [np.zeros(0, t), *(np.frombuffer(x, t) for x in done[c])] for c, t in kinds.items()}
     if len(rest):
-        one, two, r, d, p = (np.concatenate([np.frombuffer(x, t) for x in rest[c]]) for c, t in (("one", U64), ("two", np.uint32), ("row", np.int64), ("doc", np.int64), ("place", np.uint32)))
-        order = np.lexsort((d, two, one))
-        o, t, s = one[order], two[order], d[order]
+        one, two = (np.concatenate([np.frombuffer(x, t) for x in rest[c]]) for c, t in (("one", U64), ("two", np.uint32)))
+        more = {c: np.concatenate([np.frombuffer(x, t) for x in rest[c]]) for c, t in kinds.items()}
+        order = np.lexsort((more["doc"], two, one))
+        o, t, s = one[order], two[order], more["doc"][order]
         new = np.r_[True, (o[1:] != o[:-1]) | (t[1:] != t[:-1])]
         late = order[s != s[np.flatnonzero(new)][np.cumsum(new) - 1]]
-        row.append(r[late])
-        place.append(p[late])
-    rows, places = np.concatenate([np.zeros(0, np.int64), *row]), np.concatenate([np.zeros(0, np.uint32), *place])
-    target = np.mod(rows, buckets)
-    order = np.lexsort((places, rows, target))
-    rows, places = rows[order], places[order]
+        for c in kinds:
+            found[c].append(more[c][late])
+    doc, mark, place = (np.concatenate(found[c]) for c in kinds)
+    target = (mix(doc.view(U64)) % U64(buckets)).astype(np.int64)
+    order = np.lexsort((place, mark, doc, target))
     edges = np.searchsorted(target[order], np.arange(buckets + 1))
-    cut = [(k, i, j) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
-    return pd.DataFrame({"target": np.array([k for k, _, _ in cut], np.int32), "row": [rows[i:j].tobytes() for _, i, j in cut], "place": [places[i:j].tobytes() for _, i, j in cut]})
+    cut = [(k, order[i:j]) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+    return pd.DataFrame({"target": np.array([k for k, _ in cut], np.int32), "doc": [doc[x].tobytes() for _, x in cut], "mark": [mark[x].tobytes() for _, x in cut], "place": [place[x].tobytes() for _, x in cut]})
 
 
 def _gather(blobs: pd.DataFrame) -> pd.DataFrame:
-    return _runs(np.concatenate([np.frombuffer(x, np.int64) for x in blobs.row]), np.concatenate([np.frombuffer(x, np.uint32) for x in blobs.place]))
+    return _runs(*(np.concatenate([np.frombuffer(x, t) for x in blobs[c]]) for c, t in (("doc", np.int64), ("mark", np.uint32), ("place", np.uint32))))
 
 
 def kept_words(text: bytes, runs: bytes | None) -> tuple[int, list[bytes]]:
@@ -264,15 +268,16 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row."""
     spark = docs.sparkSession
-    buckets = max(4, partitions(spark))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"))
+    buckets = buckets_for(rows)
     table, bits = _anchor_filter(rows, buckets)
     shared = spark.sparkContext.broadcast(table)
-    blobs = rows.mapInArrow(_window_blobs(buckets, shared, bits), "bucket int, done boolean, one binary, two binary, row binary, doc binary, place binary")
-    late = blobs.groupBy("bucket").applyInPandas(lambda x: _settle_windows(x, buckets), "target int, row binary, place binary")
-    gathered = settle(late.groupBy("target").applyInPandas(_gather, "row long, runs binary"), "repeats")
-    joined = rows.join(gathered, "row", "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, kept string")
+    blobs = rows.mapInArrow(_window_blobs(buckets, shared, bits), "bucket int, done boolean, one binary, two binary, mark binary, doc binary, place binary")
+    late = blobs.groupBy("bucket").applyInPandas(lambda x: _settle_windows(x, buckets), "target int, doc binary, mark binary, place binary")
+    gathered = settle(late.groupBy("target").applyInPandas(_gather, "doc long, mark long, runs binary"), "repeats")
+    gathered = gathered.withColumnRenamed("mark", "m")
+    joined = rows.join(gathered, (F.coalesce("doc_id", F.lit(LAST)) == F.col("doc")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "text", "runs")
+    return joined.mapInArrow(lean(_cleaned), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
