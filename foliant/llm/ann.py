@@ -9,8 +9,13 @@ bound of its query can't be among the k nearest; all others are recomputed in
 double precision, components in order, and the best k of each tile are merged
 by heaps.  The answer is exact: no pair is lost.
 
-Blocks, not single rows, are joined: each tile is one row of the join, and the
-traffic is queries * candidates / block, which ``BLOCK`` sets.
+Blocks, not single rows, meet, on a grid: a cell has one block of queries and a
+group of at most ``GROUP`` blocks of candidates, and is worked through one
+candidate block at a time, with the k-th best of the blocks before as a bound
+from the start.  Cells are dealt by their place in the grid, so no task gets a
+whole table, whatever share of the vectors has one length; a task holds one
+block of either side.  The traffic is candidates * query blocks, and queries *
+candidate groups; vectors travel as 32-bit floats where these are exact.
 
 Rules for unusual rows: vectors that are null, empty, zero or that hold a null
 or non-finite component take no part.  Only vectors of one length are
@@ -26,12 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._tables import load, settle
+from ._blocks import lean
+from ._tables import load, partitions, settle
 
-K, BLOCK = 20, 8192
+K, BLOCK, GROUP = 20, 8192, 16
 #: Components multiplied at once: 127 * 127 * 1024 is still exact in a 32-bit float.
 EXACT = 1024
 
@@ -62,12 +69,19 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile(qid: np.ndarray, queries: np.ndarray, cid: np.ndarray, candidates: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query in this tile: query row, candidate row, score."""
-    qq, qs, qn, qh, qe = _quantised(queries)
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def tile(qid: np.ndarray, queries: np.ndarray, cid: np.ndarray, candidates: np.ndarray, k: int = K, made: tuple | None = None, least: np.ndarray | None = None) -> Found:
+    """The k best candidates of each query in this tile: query row, candidate row, score.
+
+    ``made`` are the queries as _quantised() has them; ``least`` is a score for
+    each query under which nothing counts.
+    """
+    qq, qs, qn, qh, qe = made or _quantised(queries)
     cq, cs, cn, ch, ce = _quantised(candidates)
     rows, cols, scores = [], [], []
-    step = max(1, (1 << 22) // max(1, len(cid)))
+    step = max(1, (1 << 21) // max(1, len(cid)))
     for i in range(0, len(qid), step):
         s = slice(i, i + step)
         about = _int_products(qq[s], cq) * qs[s, None] * cs[None, :]
@@ -75,6 +89,8 @@ def tile(qid: np.ndarray, queries: np.ndarray, cid: np.ndarray, candidates: np.n
         own = qid[s, None] == cid[None, :]
         low = np.where(own, -np.inf, about - slack)
         floor = np.partition(low, max(0, low.shape[1] - k), axis=1)[:, max(0, low.shape[1] - k)]
+        if least is not None:
+            floor = np.maximum(floor, least[s])
         r, c = np.nonzero((about + slack >= floor[:, None]) & ~own)
         for j in range(0, len(r), 1 << 16):
             rows.append(r[j : j + (1 << 16)] + i)
@@ -83,45 +99,91 @@ def tile(qid: np.ndarray, queries: np.ndarray, cid: np.ndarray, candidates: np.n
     if not rows:
         z = np.zeros(0, np.int64)
         return z, z, z.astype(float)
-    r, c, v = (np.concatenate(x) for x in (rows, cols, scores))
+    return _best(*(np.concatenate(x) for x in (rows, cols, scores)), cid, k)
+
+
+def _best(r: np.ndarray, c: np.ndarray, v: np.ndarray, cid: np.ndarray, k: int) -> Found:
+    """The k best of each query row, ties to the smaller candidate id."""
     order = np.lexsort((cid[c], -v, r))
     r, c, v = r[order], c[order], v[order]
     rank = np.arange(len(r)) - np.searchsorted(r, r)
     return r[rank < k], c[rank < k], v[rank < k]
 
 
-def _matrix(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.float64).reshape(n, -1)
+class Cell:
+    """A block of queries with the best candidates of the blocks that it has met."""
 
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int = K) -> None:
+        self.ids, self.queries, self.k, self.made = ids, queries, k, _quantised(queries)
+        self.row, self.near, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows dealt by block, packed: a block holds BLOCK vectors of one length or a few more, queries apart."""
-    held: dict[tuple[int, bool, int], list[tuple[int, np.ndarray]]] = {}
+    def meet(self, ids: np.ndarray, candidates: np.ndarray) -> None:
+        r, c, v = tile(self.ids, self.queries, ids, candidates, self.k, self.made, self.least)
+        near = np.r_[self.near, ids[c]]
+        r, c, v = _best(np.r_[self.row, r], np.arange(len(near)), np.r_[self.score, v], near, self.k)
+        self.row, self.near, self.score = r, near[c], v
+        full = np.flatnonzero(np.bincount(r, minlength=len(self.ids)) == self.k)
+        self.least[full] = v[np.searchsorted(r, full, "right") - 1]
 
-    def block(key: tuple[int, bool, int]) -> pa.RecordBatch:
-        got = held.pop(key)
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.near), pa.array(self.score)], ["query_id", "vec_id", "score"])
+
+
+def _matrix(data: pa.Scalar, n: int, wide: bool) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), np.float64 if wide else np.float32).reshape(n, -1).astype(np.float64)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most BLOCK vectors of one length, queries also apart, numbered by task and turn."""
+    held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+    task, turn = TaskContext.get().partitionId(), 0
+
+    def block(key: tuple[int, bool]) -> pa.RecordBatch:
+        nonlocal turn
+        ids, x = (np.concatenate(part) for part in zip(*held.pop(key)))
+        if len(ids) > BLOCK:
+            held[key] = [(ids[BLOCK:], x[BLOCK:])]
+            ids, x = ids[:BLOCK], x[:BLOCK]
+        narrow = x.astype(np.float32)
+        wide = bool((narrow != x).any())
+        turn += 1
         return pa.RecordBatch.from_pydict(
-            {"dim": pa.array([key[0]], pa.int32()), "query": pa.array([key[1]]), "n": pa.array([len(got)], pa.int32()), "ids": pa.array([np.array([g[0] for g in got], np.int64).tobytes()], pa.binary()), "data": pa.array([np.stack([g[1] for g in got]).tobytes()], pa.binary())}
+            {"block": pa.array([(task << 32) + turn]), "dim": pa.array([key[0]], pa.int32()), "query": pa.array([key[1]]), "n": pa.array([len(ids)], pa.int32()), "wide": pa.array([wide]), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([(x if wide else narrow).tobytes()], pa.binary())}
         )
 
     for b in batches:
-        for vec_id, vec, query, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            v = vec.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            for q in (False, True)[: 1 + bool(query)]:
-                key = (len(v), q, at)
-                held.setdefault(key, []).append((vec_id, v))
-                if len(held[key]) == 2 * BLOCK:
-                    yield block(key)
-    for key in list(held):
-        yield block(key)
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, b.num_rows, BLOCK):
+            part = b.slice(i, BLOCK)
+            ids, query = np.asarray(part.column(0), np.int64), part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            size = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            flat, at = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(size) - size
+            for dim in np.unique(size).tolist():
+                for q in (False, True):
+                    pick = np.flatnonzero((size == dim) & (query | (not q)))
+                    if len(pick):
+                        held.setdefault((dim, q), []).append((ids[pick], flat[at[pick][:, None] + np.arange(dim)]))
+                        while sum(len(x) for x, _ in held.get((dim, q), [])) >= BLOCK:
+                            yield block((dim, q))
+    while held:
+        yield block(next(iter(held)))
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by cell, its block of queries first."""
+    place, cell = None, None
     for b in batches:
-        for row in b.to_pylist():
-            qid, cid = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-            r, c, v = tile(qid, _matrix(row["q_data"], len(qid)), cid, _matrix(row["c_data"], len(cid)))
-            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(cid[c]), pa.array(v)], ["query_id", "vec_id", "score"])
+        where = list(zip(*(b.column(k).to_pylist() for k in ("dim", "turn", "lot"))))
+        for i, (at, query, n, wide) in enumerate(zip(where, *(b.column(k).to_pylist() for k in ("query", "n", "wide")))):
+            ids, x = np.frombuffer(b.column("ids")[i].as_buffer(), np.int64), _matrix(b.column("data")[i], n, wide)
+            if query:
+                if cell:
+                    yield cell.found()
+                place, cell = at, Cell(ids, x)
+            elif place == at:
+                cell.meet(ids, x)
+    if cell:
+        yield cell.found()
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +220,20 @@ def nearest(vectors: DataFrame, is_query: Column) -> DataFrame:
     one = settle(good.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
     # as many blocks as the vectors fill, whatever the number of partitions
     n = max(1, -(-one.count() // BLOCK))
-    dealt = one.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))).repartition(n, "block")
-    blocks = settle(dealt.mapInArrow(_packed, "dim int, query boolean, n int, ids binary, data binary"), "blocks")
-    queries = blocks.where("query").select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    candidates = blocks.where("not query").select("dim", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    # a tile for each pair of blocks, dealt evenly: a third of all vectors may have one length
-    tiles = candidates.join(queries.hint("shuffle_hash"), "dim").repartition(F.xxhash64("q_ids", "c_ids"))
-    best = tiles.mapInArrow(_tiles, "query_id long, vec_id long, score double")
-    return best.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged, "query_id long, rank int, vec_id long, score double")
+    kind = "block long, dim int, query boolean, n int, wide boolean, ids binary, data binary"
+    blocks = settle(one.repartition(n, "vec_id").mapInArrow(lean(_packed), kind), "blocks")
+    # the grid is laid out without the vectors: a row for each block
+    index = blocks.select("block", "dim", "query").withColumn("nth", F.row_number().over(Window.partitionBy("dim", "query").orderBy("block")) - 1)
+    sides = index.groupBy("dim").agg(F.count_if(F.col("query")).alias("turns"), F.count_if(~F.col("query")).alias("blocks")).where("turns > 0")
+    lots = F.least(F.col("blocks"), F.greatest(F.ceil(F.col("blocks") / GROUP), F.ceil(F.lit(partitions(vectors.sparkSession)) / F.col("turns")))).cast("int")
+    index = index.join(sides.select("dim", F.col("turns").cast("int").alias("turns"), lots.alias("lots")), "dim")
+    turns = F.when(F.col("query"), F.array("nth")).otherwise(F.sequence(F.lit(0), F.col("turns") - 1))
+    cells = index.withColumn("turn", F.explode(turns))
+    each = F.when(F.col("query"), F.sequence(F.lit(0), F.col("lots") - 1)).otherwise(F.array(F.col("nth") % F.col("lots")))
+    cells = cells.select("block", "turn", F.explode(each).alias("lot"))
+    laid = blocks.join(cells, "block").repartition("dim", "turn", "lot").sortWithinPartitions("dim", "turn", "lot", F.desc("query"), "block")
+    best = laid.select("dim", "turn", "lot", "query", "n", "wide", "ids", "data").mapInArrow(lean(_cells), "query_id long, vec_id long, score double")
+    return best.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lean(_merged), "query_id long, rank int, vec_id long, score double")
 
 
 def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
