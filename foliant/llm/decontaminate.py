@@ -8,13 +8,19 @@ that lie within e of each other.  So the q-grams of a text that the items
 have are counted by item in bands of 2(e + 1) diagonals that overlap by half;
 bands that reach the bound are retained and verified by banded alignment,
 which finds the least number of edits of the whole item against any stretch
-of the region.
+of the region.  q is 8, and less for an item whose bound would else be under
+one, so that every item has the same rate.
+
+Shared q-grams are met ``HITS`` at a time, and only the counts of bands are
+kept between, so a text and an item that both repeat one q-gram a thousand
+times take time, not memory.  Where such hits are cut, a q-gram may count
+twice; a band more is verified then, and none is lost.
 
 The items are the query set: they go to the tasks in blocks of bounded size,
 one pass over the texts a block.  Texts are never shuffled.
 
 Rules for unusual rows: null or empty texts match nothing; null or blank items
-are no items.  An item shorter than q is found as it stands (no edits).  Items
+are no items.  An item of less than ten characters is found as it stands.  Items
 with the same item_id are items of their own and report this id.  Rows that
 share a doc_id each report their matches.  A null doc_id is reported as null.
 Other columns are ignored.
@@ -29,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import U64, chunks, ragged
+from ._blocks import U64, chunks, lean, ragged
 from ._tables import fresh, load
 
 Q, RATE = 8, 0.1
 #: Characters of items that one pass takes to the tasks.
 BLOCK_CHARS = 1 << 22
 TABLE_BITS = 22
+#: Shared q-grams at a time.
+HITS = 1 << 19
 #: The lower-case form of the letters that have one of one character.
 LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x600)], np.uint32)
 BLANK = np.zeros(0x3001, bool)
@@ -70,16 +78,24 @@ def normal_texts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, edges, keep
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """Hash of every Q (8) characters."""
-    if len(x) < Q:
+def grams(x: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of every q characters."""
+    if len(x) < q:
         return np.zeros(0, U64)
-    h = x.astype(U64)
-    for k, base in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
-        h = h[:-k] * U64(base) + h[k:]
+    have, h = 1, x.astype(U64)
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+        k = min(have, q - have)  # two windows, which may overlap, make a longer one
+        if k:
+            h = h[:-k] * U64(base) + h[k:]
+        have += k
     return h ^ (h >> U64(29))
 
 
+def gram_size(m: int, rate: float) -> int:
+    """The q-gram size for an item of m characters: Q, or the largest with a bound of one shared q-gram at least."""
+    return max(1, min(Q, m // (int(np.floor(m * rate)) + 1)))
+
+
 def band_edits(item: np.ndarray, text: np.ndarray, shift: int, width: int, most: int) -> tuple[int, int]:
     """Least edits of the whole item against a stretch of text on diagonals shift .. shift + width - 1, and its end.
 
@@ -109,17 +125,16 @@ def band_edits(item: np.ndarray, text: np.ndarray, shift: int, width: int, most:
 
 
 class Items:
-    """A block of items, indexed by q-gram."""
+    """The items of a block that have one q-gram size, indexed by q-gram."""
 
-    def __init__(self, rows: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, rows: list[tuple[int, np.ndarray]], rate: float, q: int = Q) -> None:
+        self.q = q
         self.ids = [r[0] for r in rows]
-        self.points = [normal(r[1]) for r in rows]
+        self.points = [r[1] for r in rows]
         self.size = np.array([len(p) for p in self.points], np.int64)
         self.edits = np.floor(self.size * rate).astype(np.int64)
-        self.need = self.size - Q + 1 - Q * self.edits
-        self.edits = np.where(self.need < 1, np.maximum(0, (self.size - Q) // Q), self.edits)
-        self.need = np.maximum(1, self.size - Q + 1 - Q * self.edits)
-        all_grams = [grams(p) for p in self.points]
+        self.need = np.maximum(1, self.size - q + 1 - q * self.edits)
+        all_grams = [grams(p, q) for p in self.points]
         gram = np.concatenate(all_grams) if all_grams else np.zeros(0, U64)
         item = np.repeat(np.arange(len(rows)), [len(g) for g in all_grams])
         place = np.concatenate([np.arange(len(g)) for g in all_grams]) if all_grams else np.zeros(0, np.int64)
@@ -129,63 +144,74 @@ class Items:
         self.count = np.diff(np.r_[self.first, len(self.gram)])
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[self._slot(self.keys)] = True
-        self.short = [i for i, n in enumerate(self.size) if n < Q]
+
+    @classmethod
+    def by_size(cls, rows: list[tuple[int, str]], rate: float) -> list["Items"]:
+        """All items of a block, those of each q-gram size together."""
+        groups: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for item_id, text in rows:
+            points = normal(text)
+            if len(points):
+                groups.setdefault(gram_size(len(points), rate), []).append((item_id, points))
+        return [cls(some, rate, q) for q, some in sorted(groups.items())]
 
     @staticmethod
     def _slot(g: np.ndarray) -> np.ndarray:
         return (g & U64((1 << TABLE_BITS) - 1)).astype(np.int64)
 
-    def regions(self, x: np.ndarray, edges: np.ndarray) -> set[tuple[int, int, int]]:
+    def regions(self, x: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, band) of every band with enough shared q-grams."""
-        g = grams(x)
+        g = grams(x, self.q)
         at = np.flatnonzero(self.seen[self._slot(g)])
         if not len(at) or not len(self.keys):
-            return set()
+            return []
         k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
         good = self.keys[k] == g[at]
         text = np.searchsorted(edges, at, "right") - 1
-        good &= at + Q <= edges[np.minimum(text + 1, len(edges) - 1)]
+        good &= at + self.q <= edges[np.minimum(text + 1, len(edges) - 1)]
         at, k, text = at[good], k[good], text[good]
         # a q-gram of many items meets each: the hits of a text are the work of the filter
-        found: set[tuple[int, int, int]] = set()
         size = self.count[k]
         edge = np.r_[0, np.cumsum(size)]
-        step = 1 << 20
         begin = 0
+        kept = [np.zeros((4, 0), np.int64)]  # text, item, band, count: of the texts that a step may have cut
+        found: list[np.ndarray] = []
         while begin < len(k):
-            stop = int(np.searchsorted(edge, edge[begin] + step, "right")) - 1
-            # whole texts in a step, however many hits the last one has
-            stop = max(stop, begin + 1)
-            stop = int(np.searchsorted(text, text[stop - 1], "right"))
+            stop = max(begin + 1, int(np.searchsorted(edge, edge[begin] + HITS, "right")) - 1)
             s = slice(begin, stop)
             hit = ragged(self.first[k[s]], size[s])
-            t, p, i = np.repeat(text[s], size[s]), np.repeat(at[s] - edges[text[s]], size[s]), self.item[hit]
-            few = np.bincount(i, minlength=len(self.need)) >= self.need
-            keep = few[i]
-            t, p, i, q = t[keep], p[keep], i[keep], self.place[hit][keep]
-            width = self.edits[i] + 1
-            band = (p - q + self.size[i]) // width  # a band holds two of these: 2 * width diagonals
-            found |= self._bands(np.r_[t, t], np.r_[i, i], np.r_[band, band - 1], np.r_[q, q])
+            t, p, i, q = np.repeat(text[s], size[s]), np.repeat(at[s] - edges[text[s]], size[s]), self.item[hit], self.place[hit]
+            band = (p - q + self.size[i]) // (self.edits[i] + 1)  # a band holds two of these: 2 * width diagonals
+            now = self._counts(np.r_[t, t], np.r_[i, i], np.r_[band, band - 1], np.r_[q, q])
+            both = self._summed(np.concatenate([*kept, now], axis=1))
+            over = both[0] < (text[stop] if stop < len(k) else len(edges))
+            found.append(both[:3, over & (both[3] >= self.need[both[1]])])
+            kept = [both[:, ~over]]
             begin = stop
-        return found
+        return sorted(zip(*np.concatenate(found, axis=1).tolist())) if found else []
 
-    def _bands(self, t: np.ndarray, i: np.ndarray, band: np.ndarray, q: np.ndarray) -> set[tuple[int, int, int]]:
-        """Bands in which enough *different* q-grams of the item are met."""
+    @staticmethod
+    def _counts(t: np.ndarray, i: np.ndarray, band: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Number of *different* q-grams of the item that each band meets."""
         order = np.lexsort((q, band, i, t))
         t, i, band, q = t[order], i[order], band[order], q[order]
-        if not len(t):
-            return set()
         new = np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (band[1:] != band[:-1])]
         other = new | np.r_[True, q[1:] != q[:-1]]
         first = np.flatnonzero(new)
-        n = np.add.reduceat(other.astype(np.int64), first)
-        ok = first[n >= self.need[i[first]]]
-        return set(zip(t[ok].tolist(), i[ok].tolist(), band[ok].tolist()))
+        return np.stack([t[first], i[first], band[first], np.add.reduceat(other.astype(np.int64), first)])
+
+    @staticmethod
+    def _summed(rows: np.ndarray) -> np.ndarray:
+        if not rows.shape[1]:
+            return rows
+        rows = rows[:, np.lexsort(rows[2::-1])]
+        first = np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(0)])
+        return np.concatenate([rows[:3, first], np.add.reduceat(rows[3], first)[None]])
 
     def matches(self, x: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of the best verified region of each text and item, in places of x."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for t, i, band in sorted(self.regions(x, edges)):
+        for t, i, band in self.regions(x, edges):
             if best.get((t, i), (1,))[0] == 0:
                 continue
             body, width = x[edges[t] : edges[t + 1]], int(self.edits[i]) + 1
@@ -195,32 +221,26 @@ class Items:
                 back, length = band_edits(self.points[i][::-1], body[:end][::-1], -width, 2 * width, most)
                 start = end - length if back <= most else max(0, end - int(self.size[i]))
                 best[t, i] = min(best.get((t, i), (most + 1, 0, 0)), (edits, start, end))
-        for i in self.short:
-            item = self.points[i]
-            if len(item) and len(x) >= len(item):
-                same = np.lib.stride_tricks.sliding_window_view(x, len(item))
-                for at in np.flatnonzero((same == item).all(1)):
-                    t = int(np.searchsorted(edges, at, "right")) - 1
-                    if at + len(item) <= edges[t + 1]:
-                        best.setdefault((t, i), (0, int(at - edges[t]), int(at - edges[t] + len(item))))
         return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
 def _matcher(shared, rate: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value, rate)
+        groups = Items.by_size(shared.value, rate)
         for rows, buf, off in chunks(batches):
             x, edges, place = normal_texts(buf, off)
             lead = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)][off]
-            found = items.matches(x, edges)
-            if found:
+            for items in groups:
+                found = items.matches(x, edges)
+                if not found:
+                    continue
                 t = np.array([f[0] for f in found])
                 start = [int(place[edges[a] + s] - lead[a]) for a, _, _, s, _ in found]
                 end = [int(place[edges[a] + e - 1] - lead[a]) + 1 for a, _, _, _, e in found]
                 cols = [rows.column(0).take(pa.array(t)), rows.column(2).take(pa.array(t)), pa.array([items.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "item_id", "edits", "start", "end"])
 
-    return run
+    return lean(run)
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
