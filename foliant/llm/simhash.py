@@ -3,13 +3,16 @@
 A fingerprint of 64 bits is cut into five consecutive segments on a ring.  If
 two fingerprints differ in at most four bits, some start on the ring has a
 chain whose first l segments together differ in at most ``l * 4 / 5`` bits for
-every l.  So the first segment is equal and the first two differ in one bit at
-most, which leaves one half of the second segment equal as well.  Segment and
-half are the join key (about 19 bits, ten keys a fingerprint); the cumulative
-budgets then prune the pairs of a key before the full Hamming check.
+every l.  So the first segment is equal, the first two differ in one bit at
+most, and the first three in two: of the halves of the second and the third
+segment, both of the second are equal, or one of either.  The first segment with
+such two halves is the join key (about 26 bits, 25 keys a fingerprint); the
+cumulative budgets then prune the pairs of a key before the full Hamming check,
+in keys of every size.
 
 Only *distinct* fingerprints are paired, and a key hands out links, never all
-its pairs: copies of a text, however many, are one fingerprint.
+its pairs: copies of a text, however many, are one fingerprint.  A pair that the
+chain of one start doesn't pass is met under another one.
 
 Rules for unusual rows: a null text counts as empty, and a text without words
 has fingerprint zero and links like any other; one with fewer than four words
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import chunks
+from ._blocks import chunks, lean
 from ._components import components
 from ._tables import fresh, load, settle
 
@@ -37,6 +40,8 @@ WORDS, MAX_DIFFERENT, SEED = 4, 4, 42
 #: (shift, width) of the five segments, from the low end.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 U64 = np.uint64
+#: Above these bits, a key says its start and its halves.
+START_BITS = 32
 _SET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -81,7 +86,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (to tell rows of one doc_id apart) and fp (the 64 bits as a signed long) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(lean(_fingerprints), "doc_id long, text_hash long, fp long")
 
 
 def _segment(x: np.ndarray, i: int) -> np.ndarray:
@@ -89,14 +94,21 @@ def _segment(x: np.ndarray, i: int) -> np.ndarray:
     return (x >> U64(shift)) & U64((1 << width) - 1)
 
 
+#: Which halves (0 and 1 of the second segment, 2 and 3 of the third) make a key with the first segment.
+HALVES = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3))
+
+
 def ring_keys(fp: np.ndarray) -> np.ndarray:
-    """(10, n): for each start on the ring, its segment with either half of the next one."""
+    """(25, n): for each start on the ring, its segment with two halves of the next ones."""
     out = []
     for i in range(len(SEGMENTS)):
-        first, second = _segment(fp, i), _segment(fp, i + 1)
-        low = SEGMENTS[(i + 1) % len(SEGMENTS)][1] // 2
-        for half, part in enumerate((second & U64((1 << low) - 1), second >> U64(low))):
-            out.append((U64(2 * i + half) << U64(32)) | (first << U64(8)) | part)
+        parts = []
+        for step in (1, 2):
+            x, low = _segment(fp, i + step), SEGMENTS[(i + step) % len(SEGMENTS)][1] // 2
+            parts += [x & U64((1 << low) - 1), x >> U64(low)]
+        for k, (a, b) in enumerate(HALVES):
+            tag = U64(i * len(HALVES) + k) << U64(START_BITS)
+            out.append(tag | (_segment(fp, i) << U64(14)) | (parts[a] << U64(7)) | parts[b])
     return np.stack(out)
 
 
@@ -117,20 +129,30 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(fp, len(keys)))], ["key", "fp"])
 
 
-def _links_of_large(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _start(key: np.ndarray) -> np.ndarray:
+    return (key >> U64(START_BITS)).astype(np.int64) // len(HALVES)
+
+
+def linked(different: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Places of the pairs whose chain holds and that differ in few enough bits."""
+    at = np.flatnonzero(chain_holds(different, start))
+    return at[np.bitwise_count(different[at]) <= MAX_DIFFERENT]
+
+
+def _links_of_large(fp: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is linked in one large key: a breadth-first search over what is not yet reached."""
     left, a, b = fp, [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= MAX_DIFFERENT
-            if near.any():
+            near = linked(left ^ x, np.full(len(left), start))
+            if len(near):
                 reached = left[near]
                 a.append(np.full(len(reached), x))
                 b.append(reached)
                 queue += list(reached)
-                left = left[~near]
+                left = np.delete(left, near)
     none = np.zeros(0, U64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
@@ -141,7 +163,7 @@ def key_links(key: np.ndarray, fp: np.ndarray, small: int = 64) -> tuple[np.ndar
     sizes = np.diff(np.r_[first, len(key)])
     out_a, out_b = [], []
     for at, n in zip(first[sizes > small], sizes[sizes > small]):
-        a, b = _links_of_large(fp[at : at + n])
+        a, b = _links_of_large(fp[at : at + n], int(_start(key[at : at + 1])[0]))
         out_a.append(a)
         out_b.append(b)
     keep = np.repeat(sizes <= small, sizes)
@@ -151,10 +173,7 @@ def key_links(key: np.ndarray, fp: np.ndarray, small: int = 64) -> tuple[np.ndar
         if not len(same):
             break
         a, b = fp[same], fp[same + shift]
-        start = (key[same] >> U64(33)).astype(np.int64)
-        good = chain_holds(a ^ b, start)
-        a, b = a[good], b[good]
-        good = np.bitwise_count(a ^ b) <= MAX_DIFFERENT
+        good = linked(a ^ b, _start(key[same]))
         out_a.append(a[good])
         out_b.append(b[good])
     none = np.zeros(0, U64)
@@ -191,9 +210,9 @@ def _links(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) at most four bits apart."""
-    keyed = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
+    keyed = distinct.select("fp").mapInArrow(lean(_keys), "key long, fp long")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_links, "a long, b long")
+    return dealt.mapInArrow(lean(_links), "a long, b long")
 
 
 def _classes(prints: DataFrame) -> DataFrame:
