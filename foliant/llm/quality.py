@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import SPACE, U64, chunks, mix, prefix_sums, span_hash, word_spans
+from ._blocks import SPACE, U64, chunks, lean, mix, prefix_sums, span_hash, word_spans
 from ._tables import fresh, load
 
 SAMPLE, THRESHOLD, FOLDS = 6000, 0.3, 5
@@ -142,8 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("y"))
     known = known.where(fold("l_id") != 0).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
-    got = one.mapInArrow(_sample_rows, "doc_id long, y int, row binary, n binary").toPandas().sort_values("doc_id")
-    return train([np.frombuffer(x, np.int32) for x in got.row], [np.frombuffer(x, np.int32) for x in got.n], got.y.to_numpy(np.int64))
+    got = one.mapInArrow(lean(_sample_rows), "doc_id long, y int, row binary, n binary").toArrow().combine_chunks()
+    order = np.argsort(got["doc_id"].to_numpy())
+    parts = [[np.frombuffer(got[c].chunk(0)[i].as_buffer(), np.int32) for i in order] if len(order) else [] for c in ("row", "n")]
+    return train(*parts, got["y"].to_numpy()[order].astype(np.int64))
 
 
 def _scored(shared) -> Callable:
@@ -152,7 +154,7 @@ def _scored(shared) -> Callable:
         for rows, buf, off in chunks(batches):
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(rows.num_columns) if rows.schema.names[i] != "text"), pa.array(scores(model, buf, off))], [*(c for c in rows.schema.names if c != "text"), "score"])
 
-    return run
+    return lean(run)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -172,7 +174,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             good = pa.array(scores(model.value, buf, off) >= threshold)
             yield rows.select(names).filter(good)
 
-    return docs.withColumn(own, F.col("text")).mapInArrow(run, docs.schema)
+    return docs.withColumn(own, F.col("text")).mapInArrow(lean(run), docs.schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
