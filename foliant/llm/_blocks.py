@@ -49,7 +49,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_FORWARD = [_powers(b, _STRIDE) for b in BASES]
+def _forward(k: int, i: int) -> np.ndarray:
+    """Powers i .. i + _STRIDE - 1 of base k; those of places under MAX_BYTES are kept, in 32 bits."""
+    got = _kept.get((k, i))
+    if got is None:
+        got = _FIRST[k] * U64(pow(BASES[k], i, PRIME)) % _PRIME
+        if i < MAX_BYTES:
+            _kept[k, i] = got.astype(np.uint32)
+    return got
+
+
+_kept: dict[tuple[int, int], np.ndarray] = {}
+_FIRST = [_powers(b, _STRIDE) for b in BASES]
 _BACK = [_powers(pow(b, -1, PRIME), _STRIDE) for b in BASES]
 
 
@@ -115,16 +126,19 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Sums, a row for each base, from which span_hash() takes the hash of any span in O(1)."""
     out = np.zeros((len(BASES), len(buf) + 1), U64)
-    for k, base in enumerate(BASES):
-        for i in range(0, len(buf), _STRIDE):
-            part = buf[i : i + _STRIDE]
-            # place i + j has base**i * base**j; a term of 62 bits is brought under 2**32, so that 2**31 of them can be summed
-            term = _BYTES[k][part] * (_FORWARD[k][: len(part)] * U64(pow(base, i, PRIME)) % _PRIME if i else _FORWARD[k][: len(part)])
-            over = term >> _DOWN
-            term &= _PRIME
-            term += over
-            np.cumsum(term, out=out[k, i + 1 : i + 1 + len(part)])
-            out[k, i + 1 : i + 1 + len(part)] += out[k, i]
+    term, over = np.empty(_STRIDE, U64), np.empty(_STRIDE, U64)
+    for i in range(0, len(buf), _STRIDE):
+        part = buf[i : i + _STRIDE]
+        n = len(part)
+        t, o = term[:n], over[:n]
+        for k in range(len(BASES)):
+            # a term of 62 bits is brought under 2**32, so that 2**31 of them can be summed
+            np.multiply(_BYTES[k][part], _forward(k, i)[:n], out=t)
+            np.right_shift(t, _DOWN, out=o)
+            np.bitwise_and(t, _PRIME, out=t)
+            np.add(t, o, out=t)
+            t[0] += out[k, i]
+            np.cumsum(t, out=out[k, i + 1 : i + 1 + n])
     return out
 
 
