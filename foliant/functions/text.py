@@ -51,7 +51,7 @@ def with_newlines(text: str | Column, kind: str | Column) -> Column:
 
 def merge_partial_numbers(text: str | Column) -> Column:
     """A line that is only ``.12`` joins the next line that is not blank; what was joined is not looked at again."""
-    return F.regexp_replace(_c(text), r"(?m)^[ \t]*(\.\d+)[ \t]*\n(?:[ \t]*\n)*[ \t]*(?=[^\s])([^\n]*)", "$1 $2")
+    return F.regexp_replace(_c(text), r"(?md)^[ \t]*(\.\d+)[ \t]*\n(?:[ \t]*\n)*[ \t]*(?=[^\s])([^\n]*)", "$1 $2")
 
 
 def strip_comments(text: str | Column) -> Column:

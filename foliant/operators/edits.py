@@ -183,11 +183,16 @@ def splice(sources: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def untouched_gaps(sources: DataFrame, candidates: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(document_id, gap, equal): proof that what lies between the spliced spans is the same in source and candidate."""
+    """(document_id, gap, equal): proof that what lies between the spliced spans is the same in source and candidate.
+
+    A source without tokens is one gap.
+    """
     w = Window.partitionBy("document_id").orderBy("start")
     grown = tokens.withColumn("_grow", F.length("token") - (F.col("end") - F.col("start")))
     shifted = grown.withColumns({"gap": F.row_number().over(w) - 1, "_from": F.coalesce(F.lag("end").over(w), F.lit(0)), "_shift": F.coalesce(F.sum("_grow").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    last = grown.groupBy("document_id").agg(F.count("*").cast("int").alias("gap"), F.max("end").alias("_from"), F.lit(None).cast("int").alias("start"), F.sum("_grow").alias("_shift"))
+    last = grown.groupBy("document_id").agg(F.count("*").alias("_n"), F.max("end").alias("_end"), F.sum("_grow").alias("_sum"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    last = sources.select("document_id").join(last, "document_id", "left").select("document_id", none("_n").alias("gap"), none("_end").alias("_from"), F.lit(None).cast("int").alias("start"), none("_sum").alias("_shift"))
     gaps = shifted.select("document_id", F.col("gap").cast("int").alias("gap"), F.col("_from").cast("int"), F.col("start").cast("int"), F.col("_shift").cast("int")).unionByName(last.select("document_id", "gap", F.col("_from").cast("int"), "start", F.col("_shift").cast("int")))
     joined = gaps.join(sources.select("document_id", F.col("text").alias("_s")), "document_id").join(candidates.select("document_id", F.col("candidate").alias("_c")), "document_id")
     size = F.coalesce(F.col("start") - F.col("_from"), F.length("_s") - F.col("_from"))

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import binary, lexical, office, pdf
+from ..sources import binary, html, lexical, office, pdf
+from .ir import HTML_RULES
 
 RESULT = "status string, reason string, tier string, candidate binary, bytes_written long"
 
@@ -100,6 +101,31 @@ def _xml_token(owner: dict, edit: dict) -> str:
     return out.replace('"', "&quot;").replace("'", "&apos;").replace("\t", "&#9;").replace("\n", "&#10;").replace("\r", "&#13;") if owner["kind"] == "attribute" else out
 
 
+def _html_token(owner: dict, edit: dict) -> str:
+    """Texts and quoted attributes; what the capability rules call read-only stays as it is."""
+    operation, reason = HTML_RULES.get(owner["kind"], (None, f"html.{owner['kind']}.read_only"))
+    if operation is None:
+        raise Refused(reason)
+    if owner["kind"] == "attribute" and not owner["quote"]:
+        raise Refused("html.attribute.unquoted")
+    out = edit["new"].replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return out.replace(owner["quote"], {'"': "&quot;", "'": "&#39;"}[owner["quote"]]) if owner["quote"] else out
+
+
+def _html(data: bytes, edits: list[dict]) -> bytes:
+    """Edits name a path, or with ``first`` the first text of an element by its name."""
+    if any("first" in e for e in edits):
+        known = html.spans(_codec(data)[1])
+        first = {}
+        for o in known:
+            if o["kind"] in ("text", "rcdata", "rawtext"):
+                first.setdefault(o["name"], o["path"])
+        if any("first" in e and e["first"] not in first for e in edits):
+            raise Refused("target_missing")
+        edits = [{**e, "target": first[e["first"]]} if "first" in e else e for e in edits]
+    return _html_by_path(data, edits)
+
+
 def _text(data: bytes, edits: list[dict]) -> bytes:
     name, text = _codec(data)
     if len(edits) != 1:
@@ -170,11 +196,13 @@ def _single(write: Callable[[bytes, str, str], bytes]) -> Callable:
     return run
 
 
+_html_by_path = _by_owner(html.spans, lambda o: o["path"], _html_token, lambda o: o["value"], lambda e: e["new"])
 WRITERS: dict[str, Callable[[bytes, list[dict]], bytes]] = {
     "text": _text,
     "csv": _by_owner(lexical.csv_fields, lambda o: (o["row"], o["column"]), _csv_token, lambda o: o["value"], lambda e: e["new"]),
     "json": _by_owner(lexical.json_values, lambda o: o["pointer"], _json_token, lambda o: json.loads(o["raw"]) if o["kind"] not in ("object", "array") else o["kind"], lambda e: e["new"]),
     "xml": _by_owner(lambda t: list(lexical.xml_owners(t)), lambda o: o["path"], _xml_token, lambda o: o["value"], lambda e: e["new"]),
+    "html": _html,
     "ipynb": _ipynb,
     "png": _single(binary.png_replace),
     "jpeg": _single(binary.jpeg_replace),

@@ -13,6 +13,7 @@ from ..functions import uri as U
 from ..operators import convert as CV
 from ..operators import edits as E
 from ..operators import ir, layout, markdown, tables
+from ..operators import writers as W
 from ..operators.registry import Registry, route
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,16 +155,14 @@ def newline_kind(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.newline_kind(t).alias("newline"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(replace(text, ' ', chr(10) || '.7' || chr(10) || chr(10)), '\n(\.\d+)\n\n', chr(10) || '\1 ', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '\s\s|^\s|\s$|\.[0-9]') """)
+@query(r"""SELECT doc_id, sha256(regexp_replace(replace(text, ' ', chr(10) || '.7' || chr(10) || chr(10)), '(?m)^[ \t]*(\.[0-9]+)[ \t]*\n(?:[ \t]*\n)*[ \t]*([^\s\x0B][^\n]*)', '\1 \2', 'g')) AS digest FROM documents""")
 def partial_number_merge(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where(~F.rlike("text", F.lit(r"\s\s|^\s|\s$|\.[0-9]")))
-    return d.select("doc_id", F.sha2(T.merge_partial_numbers(F.replace("text", F.lit(" "), F.lit("\n.7\n\n"))), 256).alias("digest"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(T.merge_partial_numbers(F.replace("text", F.lit(" "), F.lit("\n.7\n\n"))), 256).alias("digest"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(replace(text, ' ', '\\\|'), '\r\n|\n|\r', ' ', 'g')) AS digest FROM documents WHERE NOT contains(text, '|') AND NOT contains(text, chr(92))""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(text, ' ', '\|'), '(\\*)\|', '\1\1\\|', 'g'), '\r\n|\n|\r', ' ', 'g')) AS digest FROM documents""")
 def escape_cell(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where(~F.contains("text", F.lit("|")) & ~F.contains("text", F.lit("\\")))
-    return d.select("doc_id", F.sha2(T.escape_cell(F.replace("text", F.lit(" "), F.lit("\\|"))), 256).alias("digest"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(T.escape_cell(F.replace("text", F.lit(" "), F.lit("\\|"))), 256).alias("digest"))
 
 
 @query(r"""SELECT doc_id, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM (SELECT doc_id, source || '<&>' || lang AS t FROM documents)""")
@@ -413,13 +412,24 @@ def splice_text(spark, sf_dir):
     return out.select("document_id", F.sha2("text", 256).alias("before"), F.sha2("candidate", 256).alias("after"))
 
 
-@query(r"""SELECT doc_id AS document_id, unnest([0, 1, 2]) AS gap, true AS equal FROM documents WHERE length(text) > 20""")
+@query(r"""SELECT doc_id AS document_id, unnest(CASE WHEN length(text) >= 11 THEN [0, 1, 2] WHEN length(text) >= 3 THEN [0, 1] ELSE [0] END) AS gap, text IS NOT NULL OR NULL AS equal FROM documents""")
 def untouched_gaps(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where(F.length("text") > 20).select(F.col("doc_id").alias("document_id"), "text")
-    tokens = d.select("document_id", F.explode(F.array(F.struct(F.lit(2).alias("start"), F.lit(3).alias("end"), F.lit("<<<<").alias("token")), F.struct(F.lit(8).alias("start"), F.lit(11).alias("end"), F.lit("").alias("token")))).alias("t")).select("document_id", "t.*")
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    two = F.array(F.struct(F.lit(2).alias("start"), F.lit(3).alias("end"), F.lit("<<<<").alias("token")), F.struct(F.lit(8).alias("start"), F.lit(11).alias("end"), F.lit("").alias("token")))
+    tokens = d.select("document_id", F.explode(F.filter(two, lambda t: t["end"] <= F.length("text"))).alias("t")).select("document_id", "t.*")
     return E.untouched_gaps(d, E.splice(d, tokens), tokens)
 
 
+@query(r"""SELECT page_id AS document_id, 'ok' AS status, sha256(regexp_replace(html, '(<h1[^>]*>)[^<]*', '\1Page ' || page_id || ' &amp; more')) AS digest FROM pages""")
+def html_heading_edit(spark, sf_dir):
+    """The heading of every page is replaced in its bytes; all else stays as it is."""
+    pages = load(spark, sf_dir, "pages").withColumnRenamed("page_id", "document_id")
+    docs = pages.select("document_id", F.lit("html").alias("format"), F.col("html").cast("binary").alias("content"), F.sha2("html", 256).alias("sha256"))
+    heading = F.to_json(F.struct(F.lit("h1").alias("first"), F.concat(F.lit("Page "), F.col("document_id").cast("string"), F.lit(" & more")).alias("new")))
+    edits = pages.select("document_id", F.lit(0).alias("position"), heading.alias("payload"))
+    return W.write(docs, edits).select("document_id", "status", F.sha2("candidate", 256).alias("digest"))
+
+
 @query(r"""SELECT o_orderkey AS document_id, 'status' AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'applied' WHEN o_orderkey % 4 = 1 THEN 'not_applied' ELSE 'unrequested' END AS verdict FROM orders WHERE o_orderkey % 4 < 3""")
 def before_after_diff(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit("status").alias("path"), F.col("o_orderstatus").alias("value"))

@@ -88,6 +88,91 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+RAWTEXT, RCDATA = frozenset(("script", "style")), frozenset(("title", "textarea"))
+
+
+class _Spans(_Tree):
+    """The same tree, with the place of every text, comment and attribute value in the source."""
+
+    def __init__(self, source: str) -> None:
+        super().__init__()
+        self.source, self.rows, self.open = source, [], None
+        self.lines = [0, *(m.end() for m in re.finditer("\n", source))]
+        self.paths: dict[int, tuple[str, dict[str, int]]] = {id(self.root): ("", {})}
+
+    def _here(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _step(self, name: str) -> str:
+        path, seen = self.paths[id(self.at)]
+        seen[name] = seen.get(name, 0) + 1
+        return f"{path}/{name}[{seen[name]}]"
+
+    def _row(self, kind: str, name: str, path: str, start: int, end: int | None, value: str | None) -> dict:
+        self.rows.append({"kind": kind, "name": name, "path": path, "start": start, "end": end, "value": value, "quote": ""})
+        return self.rows[-1]
+
+    def mark(self, at: int) -> None:
+        """What comes next begins here, so an open text ends here."""
+        if self.open is not None:
+            self.open["end"], self.open = at, None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        at, raw = self._here(), self.get_starttag_text() or ""
+        self.mark(at)
+        path, parent = self._step(tag), self.at
+        super().handle_starttag(tag, attrs)
+        node = parent.children[-1]
+        self.paths[id(node)] = (path, {})
+        self._row("element", tag, path, at, at + len(raw), None)
+        seen = set()
+        for m in _ATTRIBUTE.finditer(raw, 1 + len(tag)):
+            name = m[1].lower()
+            if name in seen or name not in node.attrs:
+                continue
+            seen.add(name)
+            g = next((k for k in (2, 3, 4) if m[k] is not None), None)
+            a, b = m.span(g) if g else (m.end(1), m.end(1))
+            self._row("attribute", name, f"{path}/@{name}", at + a, at + b, node.attrs[name])["quote"] = {2: '"', 3: "'"}.get(g, "")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.mark(self._here())
+        super().handle_endtag(tag)
+
+    def handle_data(self, data: str) -> None:
+        super().handle_data(data)
+        if self.open is not None:
+            self.open["value"] += data
+            return
+        kind = "rawtext" if self.at.tag in RAWTEXT else "rcdata" if self.at.tag in RCDATA else "text"
+        self.open = self._row(kind, self.at.tag, self._step("text()"), self._here(), None, data)
+
+    def handle_comment(self, data: str) -> None:
+        at = self._here()
+        self.mark(at)
+        self._row("comment", "", self._step("comment()"), at, at + len(data) + 7, data)
+
+    def handle_decl(self, decl: str) -> None:
+        self.mark(self._here())
+
+    def handle_pi(self, data: str) -> None:
+        self.mark(self._here())
+
+    def unknown_decl(self, data: str) -> None:
+        self.mark(self._here())
+
+
+def spans(source: str) -> list[dict]:
+    """Elements, attributes, texts and comments with kind, name, path, start, end, value and an attribute's quote, in order."""
+    found = _Spans(source)
+    found.feed(source)
+    found.close()
+    found.mark(len(source))
+    return [{**r, "raw": source[r["start"] : r["end"]]} for r in found.rows]
+
+
 def title_of(root: Node) -> str | None:
     t = root.find("title")
     return t.text() if t is not None and t.children else None

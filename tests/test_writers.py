@@ -8,7 +8,7 @@ import zlib
 import pytest
 
 from foliant.operators.writers import write, write_one
-from foliant.sources import pdf
+from foliant.sources import html, pdf
 
 from .test_convert import epub, png
 
@@ -79,3 +79,25 @@ def test_write_table(spark):
     edits = spark.createDataFrame([(1, 0, '{"target": [0, 0], "new": "z"}'), (2, 0, '{"target": "/7", "new": 1}')], "document_id int, position int, payload string")
     got = {r.document_id: r for r in write(docs, edits).collect()}
     assert bytes(got[1].candidate) == b"z,b\n" and got[2].reason == "target_missing" and bytes(got[3].candidate) == b"c\n"
+
+
+def test_html_values_in_place():
+    page = """<!doctype html>\n<html><head><title>A &amp; B</title><script>if (a < b) "x"</script></head>
+<body class=plain id="m"><!-- note --><p title='it&#39;s'>one <b>two</b> 3 &lt; 4<p>five<br>six</body></html>""".encode()
+    rows = {o["path"]: o for o in html.spans(page.decode())}
+    assert all(page.decode()[o["start"] : o["end"]] == o["raw"] for o in rows.values())
+    assert rows["/html[1]/head[1]/title[1]/text()[1]"]["value"] == "A & B"
+    text = "/html[1]/body[1]/p[1]/text()[2]"
+    assert rows[text]["value"] == " 3 < 4"
+    made = write_one("html", page, [{"target": text, "new": " a<b & c"}, {"first": "b", "new": "C & D"}, {"target": "/html[1]/body[1]/p[1]/@title", "old": "it's", "new": "x'y"}])
+    assert made["status"] == "ok"
+    assert made["candidate"] == page.replace(b" 3 &lt; 4", b" a&lt;b &amp; c").replace(b"two", b"C &amp; D").replace(b"it&#39;s", b"x&#39;y")
+    refused = lambda *e: write_one("html", page, list(e))["reason"]
+    assert refused({"target": "/html[1]/head[1]/script[1]/text()[1]", "new": "x"}) == "html.raw_text.read_only"
+    assert refused({"first": "title", "new": "x"}) == "html.rcdata.read_only"
+    assert refused({"target": "/html[1]/body[1]/@class", "new": "x"}) == "html.attribute.unquoted"
+    assert refused({"target": "/nothing", "new": "x"}) == "target_missing"
+    assert refused({"first": "h1", "new": "x"}) == "target_missing"
+    assert refused({"target": text, "old": "other", "new": "x"}) == "old_value_mismatch"
+    assert refused({"target": text, "new": ""}) == "topology_changed"
+    assert write_one("html", page, [])["candidate"] == page
