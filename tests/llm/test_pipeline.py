@@ -77,3 +77,18 @@ def test_oracles(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
     key = list(want.columns)[:3]
     assert got.sort_values(key).values.tolist() == want.sort_values(key).values.tolist()
+
+
+def test_unusual_rows_in_sequence(spark, tmp_path):
+    from ._rows import table, texts
+
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no text holds this passage of some length"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in (texts(), []):
+        docs = table(spark, rows)
+        for name, stage in pipeline.STAGES:
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}-{len(rows)}"))
+            before, docs = docs, spark.read.parquet(str(tmp_path / f"{name}-{len(rows)}"))
+            if name != "tokens":
+                assert docs.columns == before.columns
+        assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and (docs.count() > 0) == bool(rows)
