@@ -12,6 +12,14 @@ All but the last return the columns of documents.
    takes twice is two rows, the one at a source's edge has its first words.
 5. tokens: the ids of all texts are written as Huffman-coded shards and read
    back: doc_id, start, n_tokens and ids_crc32 of every row.
+
+Rules for unusual rows: a null or empty text is scored, deduplicated and written
+like an empty one, holds no item, and has no words to mix, so the fourth stage
+leaves it out.  Rows with the same doc_id and text are one from the second stage
+on; rows that share only the doc_id are judged apart.  A null doc_id counts as
+larger than all others in the second stage and comes first in the last one.
+Columns besides doc_id, text and source are carried along, whatever their names;
+n_chars is set anew where a text is cut.  No rows give no rows.
 """
 
 from __future__ import annotations
