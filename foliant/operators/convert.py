@@ -160,7 +160,7 @@ def explode_bytes(df: DataFrame, function: Callable[[bytes], list[dict]], schema
     return df.select(key, "content").mapInPandas(run, full)
 
 
-SHEET = "sheet_index int, sheet string, row int, column int, type string, value string, formula string, merged boolean"
+SHEET = "sheet_index int, sheet string, row int, column int, type string, value string, formula string, merged boolean, rich boolean"
 
 
 def csv_fields(df: DataFrame, key: str = "document_id") -> DataFrame:

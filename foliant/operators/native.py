@@ -118,7 +118,7 @@ def notebook(df: DataFrame) -> dict[str, DataFrame]:
 def sheets(df: DataFrame) -> dict[str, DataFrame]:
     """Sheets as canvases, their cells with what forbids an edit, and whether a sheet is laid out as a grid."""
     cells = _with_digest(CV.xlsx_cells(df).where("error is null"), df)
-    reason = F.when(F.col("formula").isNotNull(), "xlsx.cell.formula_requires_explicit_formula_edit").when(F.col("merged"), "xlsx.cell.merged_range").when(F.col("type").isin("error", "date"), "xlsx.cell.unsupported_type")
+    reason = F.when(F.col("formula").isNotNull(), "xlsx.cell.formula_requires_explicit_formula_edit").when(F.col("merged"), "xlsx.cell.merged_range").when(F.coalesce("rich", F.lit(False)), "xlsx.cell.rich_text_requires_run_preserving_edit").when(F.col("type").isin("error", "date"), "xlsx.cell.unsupported_type")
     cells = cells.withColumns({"canvas_id": I.sheet_id("sha256", "sheet_index", "sheet"), "read_only_reason": reason, "address": I.a1_encode("row", "column")})
     per = cells.groupBy("document_id", "canvas_id", "sheet_index", "sheet").agg((F.max("row") + 1).cast("long").alias("rows"), (F.max("column") + 1).cast("long").alias("columns"), F.count_if(F.col("read_only_reason").isNull()).alias("writable"))
     large = F.col("rows") * F.col("columns") > GRID_CELLS

@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import binary, html, lexical, office, pdf
+from ..sources import binary, html, lexical, office, patches, pdf
 from .ir import HTML_RULES
 
+#: Archives inside archives (a fixed value).
+ZIP_DEPTH = 4
 RESULT = "status string, reason string, tier string, candidate binary, bytes_written long"
 
 
@@ -182,6 +184,122 @@ def _package(edit_member: Callable[[bytes, list[dict]], bytes]) -> Callable:
     return write
 
 
+def _zip(data: bytes, edits: list[dict], depth: int = 1) -> bytes:
+    """Edits name a chain of members, ``inner.zip!/a.csv``; archives are rebuilt from the innermost outwards."""
+    if depth > ZIP_DEPTH:
+        raise Refused("zip.depth_exceeded")
+    by: dict[str, list[dict]] = {}
+    for e in edits:
+        head, _, rest = e["member"].partition("!/")
+        by.setdefault(head, []).append({**e, "member": head, "_rest": rest or None})
+
+    def member(part: bytes, es: list[dict]) -> bytes:
+        inner = [{k: v for k, v in e.items() if k != "_rest"} | {"member": e["_rest"]} for e in es if e["_rest"] is not None]
+        own = [e for e in es if e["_rest"] is None]
+        if (inner and own) or len({e["format"] for e in own}) > 1:
+            raise Refused("zip.mixed_edits")
+        return _zip(part, inner, depth + 1) if inner else WRITERS[own[0]["format"]](part, [{**e, "member": e.get("part")} for e in own])
+
+    return _package(member)(data, [e for es in by.values() for e in es])
+
+
+def _xlsx(data: bytes, edits: list[dict]) -> bytes:
+    """Values of native cells (``target``: sheet and address); only their elements in the sheets' parts change."""
+    before = office.xlsx_cells(data)
+    at = {(c["sheet"], c["row"], c["column"]): c for c in before}
+    extent: dict[str, tuple[int, int]] = {}
+    for c in before:
+        r, k = extent.get(c["sheet"], (0, 0))
+        extent[c["sheet"]] = max(r, c["row"] + 1), max(k, c["column"] + 1)
+    asked: dict[tuple[str, int, int], object] = {}
+    for e in edits:
+        sheet, address = e["target"]
+        if sheet not in extent:
+            raise Refused("unsupported_sheet_structure")
+        try:
+            row, column = office.a1(address)
+        except ValueError as x:
+            raise Refused("invalid_edit_payload") from x
+        key = (sheet, row, column)
+        if key in asked:
+            raise Refused("duplicate_cell_coordinate")
+        if row >= extent[sheet][0] or column >= extent[sheet][1]:
+            raise Refused("cell_out_of_range")
+        if "new" not in e:
+            raise Refused("missing_typed_cell_value")
+        new = patches.scalar(e["new"])
+        if key not in at:
+            raise Refused("xlsx.cell.missing_native_cell")
+        if reason := office.cell_reason(at[key]):
+            raise Refused(reason)
+        have = patches.cell_scalar(at[key])
+        if "old" in e and patches.scalar(e["old"]) != have:
+            raise Refused("cell_old_value_mismatch")
+        if new == have:
+            raise Refused("no_op_cell_update")
+        asked[key] = e["new"]
+    by: dict[str, dict[str, object]] = {}
+    for key, value in asked.items():
+        by.setdefault(at[key]["part"], {})[at[key]["address"]] = value
+
+    parts = office.members(data)
+    new_parts = {}
+    for part, updates in by.items():
+        name, text = _codec(parts[part])
+        new_parts[part] = _spliced(text, patches.sheet_tokens(text, lexical.xml_tree(text), updates)).encode(name)
+    made = office.rewrite(data, new_parts)
+    after = office.xlsx_cells(made)
+    if [(c["sheet"], c["row"], c["column"]) for c in after] != [(c["sheet"], c["row"], c["column"]) for c in before]:
+        raise Refused("topology_changed")
+    for a, b in zip(after, before):
+        key = (a["sheet"], a["row"], a["column"])
+        if (patches.cell_scalar(a) != patches.scalar(asked[key])) if key in asked else a != b:
+            raise Refused("verification_failed")
+    return made
+
+
+def _office(family: str) -> Callable:
+    """Edits of a part: of whole paragraphs, table cells, runs' styles, alternative texts and boxes, or of XML owners by path."""
+
+    def member(data: bytes, edits: list[dict]) -> bytes:
+        if all("operation" not in e for e in edits):
+            return WRITERS["xml"](data, edits)
+        name, text = _codec(data)
+        root = lexical.xml_tree(text)
+        paragraphs, tables = list(root.walk("p")), list(root.walk("tbl"))
+        at = lambda rows, i: rows[i] if isinstance(i, int) and 0 <= i < len(rows) else _missing()
+        tokens: list[tuple[int, int, str]] = []
+        wanted: list[tuple[int, str]] = []
+        for e in edits:
+            what = e.get("operation")
+            if what in ("replace_text", "update_table_cells"):
+                p = at(paragraphs, e["paragraph"]) if what == "replace_text" else patches.table_cell(at(tables, e["table"]), e["row"], e["column"])
+                tokens += patches.text_tokens(text, p, e["new"], family, e.get("old"))
+                wanted.append((paragraphs.index(p), e["new"]))
+            elif what == "set_text_style":
+                tokens += patches.style_tokens(text, at(paragraphs, e["paragraph"]), e["run"], e["new"], family)
+            elif what == "set_alt_text":
+                tokens += patches.alt_tokens(root, str(e["shape"]), e["new"])
+            elif what == "move_resize" and family == "pptx":
+                tokens += patches.geometry_tokens(root, str(e["shape"]), e["new"])
+            else:
+                raise Refused("unsupported_operation")
+        made = _spliced(text, tokens)
+        after = [patches.paragraph_text(p) for p in lexical.xml_tree(made).walk("p")]
+        expect = [patches.paragraph_text(p) for p in paragraphs]
+        for i, new in wanted:
+            expect[i] = new
+        if after != expect:
+            raise Refused("verification_failed")
+        return made.encode(name)
+
+    return _package(member)
+
+
+def _missing():
+    raise Refused("target_missing")
+
+
 def _single(write: Callable[[bytes, str, str], bytes]) -> Callable:
     def run(data: bytes, edits: list[dict]) -> bytes:
         for e in edits:
@@ -209,8 +327,8 @@ WRITERS: dict[str, Callable[[bytes, list[dict]], bytes]] = {
     "mp3": _single(binary.id3v1_replace),
     "pdf": _single(pdf.update_info),
 }
-WRITERS["epub"] = WRITERS["docx"] = WRITERS["pptx"] = _package(lambda data, edits: WRITERS["xml"](data, edits))
-WRITERS["zip"] = _package(lambda data, edits: WRITERS[edits[0]["format"]](data, edits))
+WRITERS["epub"] = _package(lambda data, edits: WRITERS["xml"](data, edits))
+WRITERS |= {"docx": _office("docx"), "pptx": _office("pptx"), "xlsx": _xlsx, "zip": _zip}
 
 
 def write_one(family: str, data: bytes, edits: list[dict], sha256: str | None = None) -> dict:
@@ -226,6 +344,8 @@ def write_one(family: str, data: bytes, edits: list[dict], sha256: str | None =
         made = WRITERS[family](data, edits)
     except Refused as e:
         return refuse(str(e))
+    except ValueError as e:  # parsers and patches name their reason
+        return refuse(str(e))
     except Exception as e:  # noqa: BLE001  a row's error is the row's
         return refuse(f"{type(e).__name__}: {e}")
     return {"status": "ok", "reason": None, "tier": "exact-preserve", "candidate": made, "bytes_written": len(made)}

@@ -249,3 +249,68 @@ def rtf(text: str) -> str:
         elif skip is None:
             out.append({"par": "\n", "line": "\n", "tab": "\t"}.get(word, "") if word and word != "u" else chr(int(number) % 65536) if word == "u" else bytes.fromhex(hexed).decode("cp1252", "replace") if hexed else symbol if symbol and symbol in "\\{}" else char or "")
     return "".join(out).strip()
+
+
+class Element:
+    """An element of a text with the spans of its start tag, attributes, content and whole."""
+
+    __slots__ = ("name", "local", "start", "attrs", "attributes", "inner", "close", "end", "children", "texts")
+
+    def __init__(self, name: str, start: int) -> None:
+        self.name, self.local, self.start = name, name.rsplit(":", 1)[-1], start
+        self.attrs, self.attributes, self.inner, self.close, self.end = (start, start), {}, start, start, start
+        self.children: list[Element] = []
+        self.texts: list[str] = []
+
+    @property
+    def prefix(self) -> str:
+        return self.name[: -len(self.local)]
+
+    def walk(self, *locals_: str) -> Iterator[Element]:
+        """This element and those below in the text's order; with names, only those so called."""
+        stack = [self]
+        while stack:
+            e = stack.pop()
+            if not locals_ or e.local in locals_:
+                yield e
+            stack += reversed(e.children)
+
+    def first(self, *locals_: str) -> Element | None:
+        return next((e for e in self.walk(*locals_) if e is not self), None)
+
+    def of(self, *locals_: str) -> list[Element]:
+        return [e for e in self.children if e.local in locals_]
+
+    def value(self) -> str:
+        return "".join(self.texts)
+
+
+def xml_tree(text: str) -> Element:
+    """The document as a tree of spans under a nameless root; the same texts are refused as by ``xml_owners``."""
+    if re.search(r"<!(?:DOCTYPE|ENTITY)", text):
+        raise ValueError("xml.dtd_refused")
+    root = Element("", 0)
+    stack, at = [root], 0
+    for m in _MARKUP.finditer(text):
+        if m.start() > at:
+            stack[-1].texts.append(xml_decode(text[at : m.start()]))
+        at = m.end()
+        if m["cdata"] is not None:
+            stack[-1].texts.append(m["cdata"])
+        elif m["close"] is not None:
+            e = stack.pop()
+            if e.name != m["close"] or not stack:
+                raise ValueError("xml.mismatched_end")
+            e.close, e.end = m.start(), at
+        elif m["open"] is not None:
+            e = Element(m["open"], m.start())
+            e.attrs, e.inner, e.close, e.end = m.span("attrs"), at, at, at
+            for a in _ATTRIBUTE.finditer(m["attrs"]):
+                g = 2 if a[2] is not None else 3
+                e.attributes[a[1]] = (xml_decode(a[g]), m.start("attrs") + a.start(), m.start("attrs") + a.end())
+            stack[-1].children.append(e)
+            if not m["self"]:
+                stack.append(e)
+    if len(stack) != 1:
+        raise ValueError("xml.unclosed_element")
+    return root

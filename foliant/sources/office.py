@@ -284,14 +284,26 @@ def a1(address: str) -> tuple[int, int]:
     return row - 1, column - 1
 
 
-def _strings(parts: dict[str, bytes], name: str | None) -> list[str]:
+def _strings(parts: dict[str, bytes], name: str | None) -> list[tuple[str, bool]]:
+    """Shared strings and whether their runs have styles."""
     if not name or name not in parts:
         return []
-    return ["".join(t.text or "" for t in si.iter(S + "t")) for si in xml(parts[name]).findall(S + "si")]
+    return [("".join(t.text or "" for t in si.iter(S + "t")), si.find(S + "r") is not None) for si in xml(parts[name]).findall(S + "si")]
+
+
+def cell_reason(cell: dict) -> str | None:
+    """Why a native cell can't be edited: the first rule that holds."""
+    if cell["formula"] is not None:
+        return "xlsx.cell.formula_requires_explicit_formula_edit"
+    if cell["merged"]:
+        return "xlsx.cell.merged_range"
+    if cell["rich"]:
+        return "xlsx.cell.rich_text_requires_run_preserving_edit"
+    return "xlsx.cell.unsupported_type" if cell["type"] in ("error", "date") else None
 
 
 def xlsx_cells(data: bytes) -> list[dict]:
-    """Native cells: sheet_index, sheet, row, column, type, value (JSON scalar as text), formula, merged."""
+    """Native cells: sheet_index, sheet, part, address, row, column, type, value (JSON scalar as text), formula, merged, rich (styled runs)."""
     parts = members(data)
     book = next((t for k, t in relationships(parts, "").values() if k == "officeDocument"), "xl/workbook.xml")
     rels = relationships(parts, book)
@@ -310,18 +322,18 @@ def xlsx_cells(data: bytes) -> list[dict]:
         for c in root.iter(S + "c"):
             row, column = a1(c.get("r"))
             kind, v, f = c.get("t", "n"), c.find(S + "v"), c.find(S + "f")
-            raw = v.text if v is not None else None
+            raw, rich = v.text if v is not None else None, False
             if kind == "s":
-                kind, value = "string", shared[int(raw)] if raw is not None else None
+                kind, (value, rich) = "string", shared[int(raw)] if raw is not None else (None, False)
             elif kind == "inlineStr":
-                kind, value = "string", "".join(t.text or "" for t in c.iter(S + "t"))
+                kind, value, rich = "string", "".join(t.text or "" for t in c.iter(S + "t")), c.find(f"{S}is/{S}r") is not None
             elif kind == "b":
                 kind, value = "bool", "TRUE" if raw == "1" else "FALSE"
             elif kind in ("str", "e", "d"):
                 kind, value = {"str": "string", "e": "error", "d": "date"}[kind], raw
             else:
                 kind, value = ("null" if raw is None else "float" if re.search("[.eE]", raw) else "int"), raw
-            out.append({"sheet_index": index, "sheet": sheet.get("name"), "row": row, "column": column, "type": kind, "value": value, "formula": None if f is None else f.text or "", "merged": (row, column) in merged})
+            out.append({"sheet_index": index, "sheet": sheet.get("name"), "part": part, "address": c.get("r"), "row": row, "column": column, "type": kind, "value": value, "formula": None if f is None else f.text or "", "merged": (row, column) in merged, "rich": rich})
     return out
 
 
