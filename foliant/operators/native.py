@@ -6,12 +6,16 @@ Column rules over their rows.  ``documents`` in: document_id, content.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..functions import text as T
-from ..sources import lexical
+from ..sources import binary, lexical, office
+from ..sources import pdf as pdf_source
 from . import convert as CV
 from .ir import HTML_RULES, JSON_RULES, SCHEMA_NAME, SCHEMA_VERSION, rule_capability
 
@@ -127,4 +131,77 @@ def sheets(df: DataFrame) -> dict[str, DataFrame]:
     return {"documents": documents(df, "xlsx"), "canvases": per, "cells": cells, "capabilities": caps}
 
 
-READERS = {"text": text, "csv": csv, "json": json, "xml": xml, "html": html, "ipynb": notebook, "xlsx": sheets}
+OWNER = "owner string, value string, operation string, reason string, again int"
+
+
+def owned(df: DataFrame, family: str, find: Callable[[bytes], list[dict]], operation: str | None = None) -> dict[str, DataFrame]:
+    """A node for every editable value that ``find`` names, and the decision on each (owners of one name are numbered); a document it refuses has one read-only decision."""
+
+    def rows(data: bytes) -> list[dict]:
+        seen: Counter = Counter()
+        out = []
+        for o in find(data):
+            o = {"operation": operation, **o}
+            key = o["operation"], o["owner"]
+            out.append(o | {"again": seen[key] or None})
+            seen[key] += 1
+        return out
+
+    name = F.concat_ws("\x00", F.coalesce("operation", F.lit("edit")), F.coalesce("owner", F.lit("")), F.col("again").cast("string"))
+    found = _with_digest(CV.explode_bytes(df, rows, OWNER), df).withColumn("node_id", I.seeded_id(family, "sha256", name))
+    nodes = found.where("error is null").select("document_id", "node_id", F.when(F.col("operation") == "replace_text", "text").otherwise("unknown_native").alias("kind"), F.concat(F.lit(f"{family}-"), "operation").alias("semantic_role"), "owner", "value")
+    reason = F.when(F.col("error").isNotNull(), F.lit(f"{family}.source.refused")).otherwise(F.col("reason"))
+    caps = found.select("document_id", "node_id", F.coalesce("operation", F.lit("edit")).alias("operation"), F.when(reason.isNull(), "writable").otherwise("read-only").alias("state"), reason.alias("reason_code"))
+    return {"documents": documents(df, family), "nodes": nodes, "capabilities": caps}
+
+
+def epub(df: DataFrame) -> dict[str, DataFrame]:
+    return owned(df, "epub", office.epub_owners)
+
+
+def archive(df: DataFrame) -> dict[str, DataFrame]:
+    return owned(df, "zip", office.zip_owners)
+
+
+def docx(df: DataFrame) -> dict[str, DataFrame]:
+    return owned(df, "docx", office.docx_owners)
+
+
+def pptx(df: DataFrame) -> dict[str, DataFrame]:
+    return owned(df, "pptx", office.pptx_owners)
+
+
+def pdf(df: DataFrame) -> dict[str, DataFrame]:
+    """Information fields, links and text fields."""
+
+    def find(data: bytes) -> list[dict]:
+        refused = next((reason for mark, reason in pdf_source.REFUSED.items() if mark in data), None)
+        out = [{"owner": k, "value": v, "operation": "update_pdf_metadata", "reason": None} for k, v in pdf_source.info(data).items()]
+        out += [o | {"operation": "update_pdf_link_uri"} for o in pdf_source.links(data)]
+        out += [o | {"operation": "update_pdf_text_field_value"} for o in pdf_source.text_fields(data)]
+        return [o | {"reason": refused or o["reason"]} for o in out]
+
+    return owned(df, "pdf", find)
+
+
+def png(df: DataFrame) -> dict[str, DataFrame]:
+    return owned(df, "png", lambda b: [{"owner": o["keyword"], "value": o["text"], "reason": None if o["writable"] else "png.text.not_unique_or_animated"} for o in binary.png_text(b)], "update_png_text_metadata")
+
+
+def jpeg(df: DataFrame) -> dict[str, DataFrame]:
+    return owned(df, "jpeg", lambda b: [{"owner": o["name"], "value": o["text"], "reason": None} for o in binary.jpeg_exif(b)], "update_jpeg_exif_text")
+
+
+def mp3(df: DataFrame) -> dict[str, DataFrame]:
+    return owned(df, "mp3", binary.id3v1, "update_mp3_id3v1_text")
+
+
+def msg(df: DataFrame) -> dict[str, DataFrame]:
+    return owned(df, "msg", binary.msg_subject, "update_msg_subject_text")
+
+
+def xls(df: DataFrame) -> dict[str, DataFrame]:
+    return owned(df, "xls", binary.xls_numbers, "update_sheet_cells")
+
+
+READERS = {"text": text, "csv": csv, "json": json, "xml": xml, "html": html, "ipynb": notebook, "xlsx": sheets, "epub": epub, "zip": archive, "docx": docx, "pptx": pptx, "pdf": pdf, "png": png, "jpeg": jpeg, "mp3": mp3, "msg": msg, "xls": xls}

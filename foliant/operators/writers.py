@@ -325,7 +325,9 @@ WRITERS: dict[str, Callable[[bytes, list[dict]], bytes]] = {
     "png": _single(binary.png_replace),
     "jpeg": _single(binary.jpeg_replace),
     "mp3": _single(binary.id3v1_replace),
-    "pdf": _single(pdf.update_info),
+    "pdf": pdf.update,
+    "msg": _single(binary.msg_replace),
+    "xls": binary.xls_replace,
 }
 WRITERS["epub"] = _package(lambda data, edits: WRITERS["xml"](data, edits))
 WRITERS |= {"docx": _office("docx"), "pptx": _office("pptx"), "xlsx": _xlsx, "zip": _zip}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 
 #: Resource limits (fixed values).
 SOURCE_BYTES, PNG_CHUNKS, PNG_CHUNK_BYTES, JPEG_MARKERS, MSG_PROPERTIES, XLS_RECORDS = 64 << 20, 16_384, 16 << 20, 4_096, 8_192, 1_000_000
@@ -110,6 +111,40 @@ class Compound:
         e = self.entries[i]
         return (self.mini_chain(e["start"]) if e["size"] < self.cutoff else self.chain(e["start"]))[: e["size"]]
 
+    def _sectors(self, at: int, table: list[int]) -> list[int]:
+        out: list[int] = []
+        seen: set[int] = set()
+        while at not in (END, FREE):
+            if at in seen or at >= len(table):
+                raise ValueError("cfb.chain")
+            seen.add(at)
+            out.append(at)
+            at = table[at]
+        return out
+
+    def slices(self, *path: str) -> list[tuple[int, int]]:
+        """(file offset, length) of a stream's bytes, in the stream's order."""
+        e = self.entries[self.streams[path]]
+        if e["size"] >= self.cutoff:
+            where, size = [(n + 1) * self.size for n in self._sectors(e["start"], self.fat)], self.size
+        else:
+            big, size = self._sectors(self.entries[0]["start"], self.fat), self.mini_size
+            per = self.size // size
+            where = [(big[n // per] + 1) * self.size + n % per * size for n in self._sectors(e["start"], self.mini)]
+        return [(at, min(size, e["size"] - k * size)) for k, at in enumerate(where) if k * size < e["size"]]
+
+    def patched(self, path: tuple[str, ...], at: int, new: bytes) -> bytes:
+        """The file with bytes of a stream replaced at ``at`` by as many others; nothing else changes."""
+        out, done = bytearray(self.data), 0
+        for offset, n in self.slices(*path):
+            first, last = max(at, done), min(at + len(new), done + n)
+            if first < last:
+                out[offset + first - done : offset + last - done] = new[first - at : last - at]
+            done += n
+        if at + len(new) > done:
+            raise ValueError("cfb.stream_range")
+        return bytes(out)
+
 
 # -- mail --------------------------------------------------------------------------------------------------------------
 
@@ -148,6 +183,37 @@ def mail(data: bytes) -> dict:
     return {"sender": text(0x0C1F) or text(0x0C1A), "to": text(0x0E04), "subject": text(0x0037), "body": text(0x1000)}
 
 
+#: A message's subject as MAPI stores it, in Unicode (a fixed value).
+SUBJECT = "__substg1.0_0037001F"
+
+
+def msg_subject(data: bytes) -> list[dict]:
+    """The subject as an owner; one in a code page, or none, can't be edited."""
+    box = Compound(data)
+    raw = box.read(SUBJECT)
+    if raw is None:
+        narrow = box.read("__substg1.0_0037001E") is not None
+        return [{"owner": "subject", "value": mail(data)["subject"], "reason": "msg.subject.ansi_unsupported" if narrow else "msg.subject.missing"}]
+    whole = len(raw) % 2 == 0 and raw.decode("utf-16-le", "replace").encode("utf-16-le") == raw
+    return [{"owner": "subject", "value": raw.decode("utf-16-le", "replace"), "reason": None if whole else "msg.subject.encoding"}]
+
+
+def msg_replace(data: bytes, owner: str, text: str) -> bytes:
+    """The subject replaced by one of the same encoded length."""
+    have = next(o for o in msg_subject(data) if o["owner"] == owner)
+    if have["reason"]:
+        raise ValueError(have["reason"])
+    new = text.encode("utf-16-le")
+    if text == have["value"]:
+        raise ValueError("no_op_update")
+    if len(new) != len(have["value"].encode("utf-16-le")):
+        raise ValueError("msg.subject.length_mismatch")
+    made = Compound(data).patched((SUBJECT,), 0, new)
+    if msg_subject(made)[0]["value"] != text:
+        raise ValueError("verification_failed")
+    return made
+
+
 def mail_markdown(data: bytes, **_) -> tuple[str, str | None]:
     m = mail(data)
     head = "".join(f"**{label}:** {m[k]}\n" for label, k in (("From", "sender"), ("To", "to"), ("Subject", "subject")) if m[k])
@@ -257,6 +323,60 @@ def xls_cells(data: bytes) -> list[dict]:
     return out
 
 
+#: Records that forbid edits of a workbook's numbers (fixed values): encryption, macros, formulas, arrays, tables, shared formulas.
+BLOCKERS = {0x2F: "xls.encrypted", 0xD3: "xls.macros", 0x06: "xls.formulas", 0x221: "xls.array_formulas", 0x236: "xls.data_tables", 0x4BC: "xls.shared_formulas"}
+
+
+def xls_numbers(data: bytes) -> list[dict]:
+    """NUMBER cells as owners: sheet_index, row, column, value, place of their eight bytes in the stream, reason."""
+    box = Compound(data)
+    name = next((n for n in ("Workbook", "Book") if (n,) in box.streams), None)
+    if name is None:
+        raise ValueError("xls.workbook_missing")
+    stream, out, at, sheet, blocked = box.read(name), [], 0, -1, None
+    while at + 4 <= len(stream):
+        kind, n = struct.unpack_from("<HH", stream, at)
+        blocked = blocked or BLOCKERS.get(kind)
+        if kind == 0x809:
+            sheet += _u16(stream, at + 6) == 0x10
+        elif kind == 0x203 and n == 14:
+            out.append({"sheet_index": sheet, "row": _u16(stream, at + 4), "column": _u16(stream, at + 6), "number": struct.unpack_from("<d", stream, at + 10)[0], "at": at + 10, "stream": name})
+        at += 4 + n
+    times = Counter((o["sheet_index"], o["row"], o["column"]) for o in out)
+    for o in out:
+        key = (o["sheet_index"], o["row"], o["column"])
+        o |= {"owner": "/".join(map(str, key)), "value": _number(o["number"]), "reason": blocked or ("xls.cell.duplicate" if times[key] > 1 else None)}
+    return out
+
+
+def xls_replace(data: bytes, edits: list[dict]) -> bytes:
+    """Numbers by (sheet index, row, column), each in its own eight bytes."""
+    have = {(o["sheet_index"], o["row"], o["column"]): o for o in xls_numbers(data)}
+    asked: dict[tuple[int, int, int], float] = {}
+    for e in edits:
+        key = tuple(e["target"])
+        if key in asked:
+            raise ValueError("duplicate_cell_coordinate")
+        if key not in have:
+            raise ValueError("xls.cell.not_a_number_record")
+        if have[key]["reason"]:
+            raise ValueError(have[key]["reason"])
+        if isinstance(e["new"], bool) or not isinstance(e["new"], (int, float)) or e["new"] in (float("inf"), float("-inf")) or e["new"] != e["new"]:
+            raise ValueError("invalid_cell_value")
+        if e.get("old") is not None and e["old"] != have[key]["number"]:
+            raise ValueError("cell_old_value_mismatch")
+        if float(e["new"]) == have[key]["number"]:
+            raise ValueError("no_op_cell_update")
+        asked[key] = float(e["new"])
+    made = data
+    for key, new in asked.items():
+        made = Compound(made).patched((have[key]["stream"],), have[key]["at"], struct.pack("<d", new))
+    after = xls_numbers(made)
+    if any(o["number"] != asked.get((o["sheet_index"], o["row"], o["column"]), o["number"]) for o in after) or len(after) != len(xls_numbers(data)):
+        raise ValueError("verification_failed")
+    return made
+
+
 def xls(data: bytes, **_) -> tuple[str, str | None]:
     from .office import sheets_markdown
 
@@ -368,6 +488,13 @@ def jpeg_replace(data: bytes, name: str, text: str) -> bytes:
     return data[: owner["offset"]] + raw.ljust(owner["room"], b"\0") + data[owner["offset"] + owner["room"] :]
 
 
+def id3v1(data: bytes) -> list[dict]:
+    """Title, artist and album of a terminal tag as owners."""
+    if data[-128:-125] != b"TAG":
+        raise ValueError("mp3.tag_missing")
+    return [{"owner": name, "value": data[len(data) - 128 + at : len(data) - 98 + at].split(b"\0")[0].decode("latin-1").rstrip(), "reason": None} for name, at in (("title", 3), ("artist", 33), ("album", 63))]
+
+
 def id3v1_replace(data: bytes, field: str, text: str) -> bytes:
     at = {"title": 3, "artist": 33, "album": 63}[field] + len(data) - 128
     if data[-128:-125] != b"TAG":

@@ -11,6 +11,7 @@ import xml.etree.ElementTree as ET
 from html import escape
 from urllib.parse import unquote
 
+from . import lexical, patches
 from .html import normalized, to_markdown
 
 #: Container limits (fixed values).
@@ -456,4 +457,87 @@ def epub(data: bytes, **options) -> tuple[str, str | None]:
     return "\n\n".join(out), (texts("title") or [None])[0]
 
 
+# -- owners of editable values -----------------------------------------------------------------------------------------
+
+#: Archives inside archives that are opened, and the families of members by their ending (fixed values).
+DEPTH = 4
+FAMILIES = {"epub": "epub", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "ipynb": "ipynb", "csv": "csv", "json": "json", "xml": "xml", "html": "html", "htm": "html", "xhtml": "html", "md": "text", "txt": "text", "zip": "zip"}
+
+
+def epub_owners(data: bytes) -> list[dict]:
+    """Metadata texts of the package and texts of the spine's pages; owner is member and path."""
+    parts = members(data)
+    local = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+    opf = next(e.get("full-path") for e in xml(parts["META-INF/container.xml"]).iter() if local(e) == "rootfile")
+    root, base = xml(parts[opf]), posixpath.dirname(opf)
+    items = {e.get("id"): e.get("href") or "" for e in root.iter() if local(e) == "item"}
+    spine = [posixpath.normpath(posixpath.join(base, unquote(items[e.get("idref")]))) for e in root.iter() if local(e) == "itemref" and e.get("idref") in items]
+    pages = [("replace_epub_metadata_text", opf)] + [("replace_epub_xhtml_text", n) for n in dict.fromkeys(spine)]
+    out = []
+    for operation, name in pages:
+        if name not in parts:
+            out.append({"owner": name, "value": None, "operation": operation, "reason": "epub.member_missing"})
+            continue
+        try:
+            owners = list(lexical.xml_owners(parts[name].decode("utf-8-sig")))
+        except ValueError as e:
+            out.append({"owner": name, "value": None, "operation": operation, "reason": f"epub.member_refused: {e}"[:200]})
+            continue
+        for o in owners:
+            wanted = "/metadata[" in o["path"].replace("opf:", "") if operation == "replace_epub_metadata_text" else "/body[" in o["path"]
+            if o["kind"] == "text" and o["value"].strip() and wanted:
+                out.append({"owner": f"{name}#{o['path']}", "value": o["value"], "operation": operation, "reason": None})
+    return out
+
+
+def zip_owners(data: bytes, above: str = "", depth: int = 1) -> list[dict]:
+    """Members at every level, ``inner.zip!/a.csv``; writable are those whose family has a writer."""
+    out = []
+    for name, part in members(data).items():
+        family = FAMILIES.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
+        reason = "zip.member.unsafe_name" if name.startswith("/") or "\\" in name or ".." in name.split("/") else None if family else "zip.member.unsupported_format"
+        if family == "zip":
+            if depth >= DEPTH:
+                reason = "zip.depth_exceeded"
+            else:
+                try:
+                    out += zip_owners(part, f"{above}{name}!/", depth + 1)
+                except (ValueError, zipfile.BadZipFile) as e:
+                    reason = f"zip.member_refused: {e}"[:200]
+        out.append({"owner": above + name, "value": family, "operation": f"route_{family or 'unknown'}", "reason": reason})
+    return out
+
+
+def document_parts(parts: dict[str, bytes]) -> list[str]:
+    """The main part, and what it refers to as headers, footers and notes."""
+    main = next((t for k, t in relationships(parts, "").values() if k == "officeDocument"), "word/document.xml")
+    return [p for p in [main, *(t for k, t in relationships(parts, main).values() if k in ("header", "footer", "footnotes", "endnotes"))] if p in parts]
+
+
+def slide_parts(parts: dict[str, bytes]) -> list[str]:
+    """Slides in their order, each followed by its notes."""
+    deck = next((t for k, t in relationships(parts, "").values() if k == "officeDocument"), "ppt/presentation.xml")
+    rels, out = relationships(parts, deck), []
+    for s in xml(parts[deck]).iter(P + "sldId"):
+        part = rels.get(s.get(R + "id"), ("", ""))[1]
+        out += [p for p in [part, *(t for k, t in relationships(parts, part).values() if k == "notesSlide")] if p in parts]
+    return out
+
+
+def _office_owners(data: bytes, family: str, chosen) -> list[dict]:
+    parts, out = members(data), []
+    for name in chosen(parts):
+        text = parts[name].decode("utf-8-sig")
+        out += patches.paragraph_owners(text, name, family) + patches.table_owners(text, name) + patches.shape_owners(text, name, family)
+    return out
+
+
+def docx_owners(data: bytes) -> list[dict]:
+    return _office_owners(data, "docx", document_parts)
+
+
+def pptx_owners(data: bytes) -> list[dict]:
+    return _office_owners(data, "pptx", slide_parts)
+
+
 __all__ = ["docx", "epub", "normalized", "omml_to_latex", "pptx", "xlsx"]

@@ -11,7 +11,7 @@ import difflib
 import math
 from collections.abc import Iterable
 
-from .lexical import Element
+from .lexical import Element, xml_tree
 
 Token = tuple[int, int, str]
 #: Children of a paragraph that plain text can't stand for (fixed values).
@@ -155,19 +155,24 @@ def alt_tokens(root: Element, number: str, new: str) -> list[Token]:
     return attribute(named(root, number), "descr", new)
 
 
+def _place(root: Element, mark: Element) -> tuple[Element | None, str | None]:
+    """The element that holds a shape's box, or why it can't be moved."""
+    shape = next((e for e in root.walk("sp", "pic", "graphicFrame", "cxnSp", "grpSp") if any(x is mark for k in e.children for x in k.children)), None)
+    if shape is None or shape.local == "grpSp":
+        return None, "pptx.geometry.group_unsupported"
+    place = next(iter(shape.of("xfrm")), None) or next((x for k in shape.of("spPr") for x in k.of("xfrm")), None)
+    return place, None if place is not None and place.of("off") and place.of("ext") else "missing_geometry"
+
+
 def geometry_tokens(root: Element, number: str, box: dict) -> list[Token]:
     """x, y, width and height of a shape, in whole units of the file."""
     if set(box) != {"x", "y", "width", "height"} or any(isinstance(v, bool) or not isinstance(v, int) for v in box.values()):
         raise ValueError("invalid_geometry")
     if box["width"] <= 0 or box["height"] <= 0:
         raise ValueError("invalid_size")
-    mark = named(root, number)
-    shape = next(e for e in root.walk("sp", "pic", "graphicFrame", "cxnSp", "grpSp") if any(x is mark for k in e.children for x in k.children))
-    if shape.local == "grpSp":
-        raise ValueError("pptx.geometry.group_unsupported")
-    place = next(iter(shape.of("xfrm")), None) or next((x for k in shape.of("spPr") for x in k.of("xfrm")), None)
-    if place is None or not place.of("off") or not place.of("ext"):
-        raise ValueError("missing_geometry")
+    place, reason = _place(root, named(root, number))
+    if reason:
+        raise ValueError(reason)
     off, size = place.of("off")[0], place.of("ext")[0]
     now = [int(off.attributes["x"][0]), int(off.attributes["y"][0]), int(size.attributes["cx"][0]), int(size.attributes["cy"][0])]
     if now == [box["x"], box["y"], box["width"], box["height"]]:
@@ -222,3 +227,39 @@ def _merged(tokens: Iterable[Token]) -> list[Token]:
     for a, b, t in tokens:
         out[a, b] = out.get((a, b), "") + t
     return [(a, b, t) for (a, b), t in out.items()]
+
+
+# -- owners ------------------------------------------------------------------------------------------------------------
+
+
+def paragraph_owners(text: str, part: str, family: str) -> list[dict]:
+    """Paragraphs of a part as owners, in order; owner is the part and the paragraph's number."""
+    return [{"owner": f"{part}#{i}", "value": paragraph_text(p), "operation": "replace_text", "reason": paragraph_reason(p, family)} for i, p in enumerate(xml_tree(text).walk("p"))]
+
+
+def shape_owners(text: str, part: str, family: str) -> list[dict]:
+    """Alternative texts and, on slides, boxes; owner is the part and the shape's number."""
+    root, out = xml_tree(text), []
+    marks = [e for e in root.walk("cNvPr", "docPr") if "id" in e.attributes]
+    for e in marks:
+        number = e.attributes["id"][0]
+        twice = sum(m.attributes["id"][0] == number for m in marks) > 1
+        out.append({"owner": f"{part}#shape-{number}", "value": e.attributes.get("descr", ("",))[0], "operation": "set_alt_text", "reason": f"{family}.shape.duplicate_id" if twice else None})
+        if family == "pptx":
+            out.append({"owner": f"{part}#box-{number}", "value": None, "operation": "move_resize", "reason": f"{family}.shape.duplicate_id" if twice else _place(root, e)[1]})
+    return out
+
+
+def table_owners(text: str, part: str) -> list[dict]:
+    """Tables whose cells can be edited one by one, and why others can't."""
+    out = []
+    for i, t in enumerate(xml_tree(text).walk("tbl")):
+        reason = None
+        try:
+            for r, row in enumerate(t.of("tr")):
+                for c in range(len(row.of("tc"))):
+                    table_cell(t, r, c)
+        except ValueError as e:
+            reason = str(e)
+        out.append({"owner": f"{part}#table-{i}", "value": None, "operation": "update_table_cells", "reason": reason})
+    return out

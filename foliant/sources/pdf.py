@@ -130,19 +130,128 @@ def pdf(data: bytes, **_) -> tuple[str, str | None]:
     return merge_partial_numbers(text(data)).strip(), info(data).get("Title")
 
 
+#: What forbids an appended revision, by the mark that shows it (fixed values).
+REFUSED = {b"/Encrypt": "pdf.encrypted", b"/ByteRange": "pdf.signed", b"/XRef": "pdf.xref_stream"}
+_STRING = rb"(\((?:\\.|[^\\()]|\([^()]*\))*\)|<[0-9A-Fa-f\s]*>(?!>))"
+
+
+def _encoded(value: str) -> bytes:
+    if all(ord(c) < 128 for c in value):
+        return b"(" + "".join("\\" + c if c in "\\()" else c for c in value).replace("\r", "\\r").encode("latin-1") + b")"
+    return b"<" + (b"\xfe\xff" + value.encode("utf-16-be")).hex().encode() + b">"
+
+
+def _revised(data: bytes, bodies: dict[int, bytes]) -> bytes:
+    """The file with objects replaced by an appended revision: the source is an exact prefix."""
+    for mark, reason in REFUSED.items():
+        if mark in data:
+            raise ValueError(reason)
+    starts, root, size = re.findall(rb"startxref\s+(\d+)", data), re.findall(rb"/Root\s+\d+\s+\d+\s+R", data), re.findall(rb"/Size\s+(\d+)", data)
+    if not starts or not root or not size:
+        raise ValueError("pdf.trailer_missing")
+    out, table = data + (b"" if data.endswith(b"\n") else b"\n"), b"xref\n"
+    for n, body in sorted(bodies.items()):
+        g = int((re.findall(rb"(?<![0-9])%d\s+(\d+)\s+obj\b" % n, data) or [b"0"])[-1])
+        table += f"{n} 1\n{len(out):010d} {g:05d} n \n".encode()
+        out += f"{n} {g} obj".encode() + body + b"endobj\n"
+    refs = re.findall(rb"/Info\s+\d+\s+\d+\s+R", data)
+    tail = b" ".join([root[-1], *refs[-1:], b"/Prev " + starts[-1]])
+    return out + table + b"trailer\n<< /Size " + size[-1] + b" " + tail + b" >>\nstartxref\n%d\n%%%%EOF\n" % len(out)
+
+
 def update_info(data: bytes, field: str, value: str) -> bytes:
-    """The file with one information field replaced by an appended revision: the source is an exact prefix."""
-    refs = re.findall(rb"/Info\s+(\d+)\s+(\d+)\s+R", data)
-    starts = re.findall(rb"startxref\s+(\d+)", data)
-    root, size = re.findall(rb"/Root\s+\d+\s+\d+\s+R", data), re.findall(rb"/Size\s+(\d+)", data)
-    if not refs or not starts or not root or field not in info(data):
+    """One information field replaced."""
+    refs = re.findall(rb"/Info\s+(\d+)\s+\d+\s+R", data)
+    if not refs or field not in info(data):
         raise ValueError("pdf.info_missing")
-    n, g = int(refs[-1][0]), int(refs[-1][1])
-    escaped = "".join("\\" + c if c in "\\()" else c for c in value)
-    raw = b"(" + escaped.encode("latin-1") + b")" if all(ord(c) < 128 for c in value) else b"<" + (b"\xfe\xff" + value.encode("utf-16-be")).hex().encode() + b">"
-    body = re.sub(rb"(/" + field.encode() + rb"\s*)(\((?:\\.|[^\\()]|\([^()]*\))*\)|<[0-9A-Fa-f\s]*>)", lambda m: m[1] + raw, objects(data)[n], count=1)
-    glue = b"" if data.endswith(b"\n") else b"\n"
-    at = len(data) + len(glue)
-    new = f"{n} {g} obj".encode() + body + b"endobj\n"
-    table = f"xref\n{n} 1\n{at:010d} {g:05d} n \ntrailer\n<< /Size {size[-1].decode()} ".encode() + root[-1] + f" /Info {n} {g} R /Prev {starts[-1].decode()} >>\nstartxref\n{at + len(new)}\n%%EOF\n".encode()
-    return data + glue + new + table
+    n = int(refs[-1])
+    return _revised(data, {n: re.sub(rb"(/" + field.encode() + rb"\s*)" + _STRING, lambda m: m[1] + _encoded(value), objects(data)[n], count=1)})
+
+
+def links(data: bytes) -> list[dict]:
+    """Addresses that link annotations open: owner is the object's number."""
+    out = []
+    for n, body in sorted(objects(data).items()):
+        found = re.findall(rb"/URI\s*" + _STRING, _dictionary(body))
+        if found:
+            out.append({"owner": str(n), "value": _literal(found[0]), "reason": "pdf.link.ambiguous" if len(found) > 1 else None})
+    return out
+
+
+def update_link(data: bytes, owner: str, value: str) -> bytes:
+    """One link's address replaced by another http, https or mailto address."""
+    have = next(o for o in links(data) if o["owner"] == owner)
+    if have["reason"]:
+        raise ValueError(have["reason"])
+    if not re.fullmatch(r"(?:https?://[^\s/]+\S*|mailto:\S+)", value) or not value.isascii():
+        raise ValueError("pdf.link.invalid_uri")
+    if value == have["value"]:
+        raise ValueError("no_op_update")
+    return _revised(data, {int(owner): re.sub(rb"(/URI\s*)" + _STRING, lambda m: m[1] + _encoded(value), objects(data)[int(owner)], count=1)})
+
+
+def text_fields(data: bytes) -> list[dict]:
+    """Text fields of forms: owner is the full name, value their text; what can't be filled has its reason."""
+    objs, out = objects(data), []
+    parent = {n: int(m[1]) for n, b in objs.items() if (m := re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", _dictionary(b))) and not re.search(rb"/Type\s*/Pages?\b", b)}
+
+    def up(n: int) -> list[int]:
+        line: list[int] = []
+        while n in objs and n not in line:
+            line.append(n)
+            n = parent.get(n, -1)
+        return line
+
+    for n, body in sorted(objs.items()):
+        head = _dictionary(body)
+        if not re.search(rb"/T\s*[(<]", head):
+            continue
+        line = [_dictionary(objs[k]) for k in up(n)]
+        if not any(re.search(rb"/FT\s*/Tx\b", b) for b in line):
+            continue
+        name = ".".join(_literal(m[1]) for b in reversed(line) if (m := re.search(rb"/T\s*" + _STRING, b)))
+        value = re.search(rb"/V\s*" + _STRING, head)
+        flags = next((int(m[1]) for b in line if (m := re.search(rb"/Ff\s+(\d+)", b))), 0)
+        limit = re.search(rb"/MaxLen\s+(\d+)", head)
+        reason = "pdf.field.read_only" if flags & 1 else "pdf.field.password" if flags & 1 << 13 else "pdf.field.rich_text" if flags & 1 << 25 else "pdf.field.value_missing" if value is None else None
+        out.append({"owner": name, "value": _literal(value[1]) if value else None, "reason": reason, "object": n, "limit": int(limit[1]) if limit else None, "multiline": bool(flags & 1 << 12)})
+    names = [o["owner"] for o in out]
+    for o in out:
+        o["reason"] = o["reason"] or ("pdf.field.duplicate_name" if names.count(o["owner"]) > 1 else None)
+    return out
+
+
+def update_field(data: bytes, owner: str, value: str) -> bytes:
+    """One text field filled; the form asks viewers to draw its fields anew."""
+    have = next(o for o in text_fields(data) if o["owner"] == owner)
+    if have["reason"]:
+        raise ValueError(have["reason"])
+    if value == have["value"]:
+        raise ValueError("no_op_update")
+    if (have["limit"] is not None and len(value) > have["limit"]) or ("\n" in value and not have["multiline"]):
+        raise ValueError("pdf.field.value_not_allowed")
+    objs = objects(data)
+    new = {have["object"]: re.sub(rb"(/V\s*)" + _STRING, lambda m: m[1] + _encoded(value), objs[have["object"]], count=1)}
+    form = next((n for n, b in objs.items() if b"/Fields" in _dictionary(b)), None)
+    if form is not None and not re.search(rb"/NeedAppearances\s+true", objs[form]):
+        base = re.sub(rb"/NeedAppearances\s+false", b"", new.get(form, objs[form]))
+        at = base.index(b"/Fields")
+        new[form] = base[:at] + b"/NeedAppearances true " + base[at:]
+    return _revised(data, new)
+
+
+def update(data: bytes, edits: list[dict]) -> bytes:
+    """Edits of information fields, links (``kind`` link) and form fields (``kind`` field); each is proven by reading again."""
+    writers = {"info": (update_info, lambda d: info(d)), "link": (update_link, lambda d: {o["owner"]: o["value"] for o in links(d)}), "field": (update_field, lambda d: {o["owner"]: o["value"] for o in text_fields(d)})}
+    made, before = data, {k: read(data) for k, (_, read) in writers.items()}
+    for e in edits:
+        kind = e.get("kind", "info")
+        if e["target"] not in before[kind]:
+            raise ValueError("target_missing" if kind != "info" else "pdf.info_missing")
+        if e.get("old") is not None and before[kind][e["target"]] != e["old"]:
+            raise ValueError("old_value_mismatch")
+        made = writers[kind][0](made, e["target"], e["new"])
+        before[kind] = before[kind] | {e["target"]: e["new"]}
+    if not made.startswith(data) or any(read(made) != before[k] for k, (_, read) in writers.items()):
+        raise ValueError("verification_failed")
+    return made
