@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import normalize_output
 from ..sources import binary, html, lexical, office, pdf, web
+from . import layout
 from .registry import TYPES, Registry, route
+from .staging import settle
 
 SAMPLE = 64 << 10
 
@@ -123,8 +125,12 @@ ATTEMPTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in (
 INFO = ("mimetype", "extension", "charset", "filename", "local_path", "url")
 
 
-def convert(df: DataFrame, key: str = "document_id", registry: Registry | None = None, keep_data_uris: bool = False) -> DataFrame:
-    """(key, converter, status, title, markdown, attempts) of documents (key, content, and any of mimetype, extension, charset, filename, local_path, url)."""
+def convert(df: DataFrame, key: str = "document_id", registry: Registry | None = None, keep_data_uris: bool = False, forms: bool = False) -> DataFrame:
+    """(key, converter, status, title, markdown, attempts) of documents (key, content, and any of mimetype, extension, charset, filename, local_path, url).
+
+    With ``forms``, PDF pages that are forms become tables; the results are
+    settled, and only the bytes of documents converted as PDF are laid out.
+    """
     registry = registry or Registry()
     for name in INFO:
         if name not in df.columns:
@@ -138,7 +144,13 @@ def convert(df: DataFrame, key: str = "document_id", registry: Registry | None =
             yield pd.DataFrame({key: frame[key].to_numpy(), **{c: [r[c] for r in rows] for c in ("converter", "status", "title", "markdown", "attempts")}})
 
     schema = T.StructType([df.schema[key], *(T.StructField(n, T.StringType()) for n in ("converter", "status", "title", "markdown")), T.StructField("attempts", ATTEMPTS)])
-    return routed.mapInPandas(run, schema).withColumn("markdown", normalize_output("markdown"))
+    made = routed.mapInPandas(run, schema).withColumn("markdown", normalize_output("markdown"))
+    if not forms:
+        return made
+    made = settle(made, "converted")
+    found = pdf_markdown(df.select(key, "content").join(made.where("converter = 'pdf'").select(key), key, "left_semi"), key)
+    laid = found.where("form_pages > 0").select(key, F.col("markdown").alias("_forms"))
+    return made.join(laid, key, "left").withColumn("markdown", F.coalesce("_forms", "markdown")).drop("_forms")
 
 
 def explode_bytes(df: DataFrame, function: Callable[[bytes], list[dict]], schema: str, key: str = "document_id") -> DataFrame:
@@ -160,6 +172,27 @@ def explode_bytes(df: DataFrame, function: Callable[[bytes], list[dict]], schema
     return df.select(key, "content").mapInPandas(run, full)
 
 
+PAGE = "page int, width double, text string, words array<struct<text:string,x0:double,x1:double,top:double>>"
+
+
+def pdf_markdown(df: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, markdown, form_pages) of PDF files: pages that are forms as tables, others as their lines, in order.
+
+    Pages are parsed once and settled; word boxes are laid out by ``layout``
+    on all pages at once, and a document is put together in one aggregate.
+    Files that can't be parsed, and those without pages, have a null Markdown.
+    """
+    pages = settle(explode_bytes(df, pdf.page_table, PAGE, key).withColumnRenamed(key, "document_id"), "pdf-pages")
+    words = pages.select("document_id", "page", "width", F.inline("words"))
+    forms = layout.form_markdown(words).select("document_id", "page", F.col("markdown").alias("form"))
+    numbers = F.regexp_replace("text", r"(?m)^[ \t]*(\.\d+)[ \t]*\n(?:[ \t]*\n)*[ \t]*(?=\S)([^\n]*)", "$1 $2")
+    parts = pages.join(forms, ["document_id", "page"], "left").select("document_id", "page", F.coalesce("form", numbers).alias("body"), F.col("form").isNotNull().alias("is_form"))
+    rows = F.array_sort(F.collect_list(F.when(F.col("page").isNotNull(), F.struct("page", "body"))))
+    made = parts.groupBy("document_id").agg(rows.alias("_p"), F.count_if("is_form").alias("form_pages"))
+    body = F.when(F.size("_p") > 0, normalize_output(F.trim(F.array_join(F.transform("_p", lambda p: p["body"]), "\n\n"))))
+    return made.select(F.col("document_id").alias(key), body.alias("markdown"), "form_pages")
+
+
 SHEET = "sheet_index int, sheet string, row int, column int, type string, value string, formula string, merged boolean, rich boolean"
 
 

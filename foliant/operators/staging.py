@@ -13,6 +13,8 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a shared folder")
         root = tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

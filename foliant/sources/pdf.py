@@ -58,28 +58,73 @@ def _dictionary(body: bytes) -> bytes:
     return body.split(b"stream", 1)[0]
 
 
-def pages(data: bytes) -> list[list[dict]]:
-    """Text pieces (text, x, top) of each page in reading order of the page tree."""
+#: Width of a page that names none, and of a character whose font names none, in thousandths (fixed values).
+PAGE_WIDTH, CHARACTER = 612.0, 500.0
+
+
+def _refs(name: bytes, body: bytes) -> list[int]:
+    m = re.search(rb"/" + name + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", _dictionary(body))
+    return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
+
+
+def _fonts(objs: dict[int, bytes], line: list[bytes]) -> dict[bytes, list[float]]:
+    """Widths of the 256 character codes by font name, of the nearest of a page and its ancestors that has fonts."""
+    for body in line:
+        head = _dictionary(body)
+        if (r := _refs(b"Resources", body)) and b"/Font" not in head:
+            head = objs.get(r[0], b"")
+        m = re.search(rb"/Font\s*(<<.*?>>|(\d+)\s+\d+\s+R)", head, re.S)
+        if not m:
+            continue
+        out = {}
+        for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", objs.get(int(m[2]), b"") if m[2] else m[1]):
+            font = _dictionary(objs.get(int(n), b""))
+            w = re.search(rb"/Widths\s*(?:\[([^\]]*)\]|(\d+)\s+\d+\s+R)", font)
+            first = re.search(rb"/FirstChar\s+(\d+)", font)
+            table = [CHARACTER] * 256
+            if w:
+                raw = w[1] if w[1] is not None else objs.get(int(w[2]), b"").strip(b"[] \r\n\t")
+                for k, x in enumerate(re.findall(rb"-?\d*\.?\d+", raw)):
+                    if (at := (int(first[1]) if first else 0) + k) < 256:
+                        table[at] = float(x)
+            out[name] = table
+        return out
+    return {}
+
+
+def page_rows(data: bytes) -> list[dict]:
+    """Pages in the order of the page tree: page (from 1), width, pieces and words (text, x0, x1, top)."""
     objs = objects(data)
-    ref = lambda name, body: [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if (m := re.search(rb"/" + name + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", _dictionary(body))) else []
     root = next((b for b in objs.values() if re.search(rb"/Type\s*/Catalog", b)), b"")
-    stack, found, seen = ref(b"Pages", root)[::-1], [], set()
-    while stack and len(found) < PAGES:
-        n = stack.pop()
+    stack: list[tuple[int, tuple[bytes, ...]]] = [(n, ()) for n in _refs(b"Pages", root)[::-1]]
+    out, seen = [], set()
+    while stack and len(out) < PAGES:
+        n, above = stack.pop()
         if n in seen or n not in objs:
             continue
         seen.add(n)
-        kids = ref(b"Kids", objs[n])
+        line = (objs[n], *above)
+        kids = _refs(b"Kids", objs[n])
         if kids:
-            stack += kids[::-1]
-        else:
-            found.append(b"\n".join(stream(objs[c]) for c in ref(b"Contents", objs[n]) if c in objs))
-    return [_pieces(c) for c in found]
+            stack += [(k, line) for k in kids[::-1]]
+            continue
+        content = b"\n".join(stream(objs[c]) for c in _refs(b"Contents", objs[n]) if c in objs)
+        box = next((m for b in line if (m := re.search(rb"/MediaBox\s*\[\s*(-?[\d.]+)\s+-?[\d.]+\s+(-?[\d.]+)", _dictionary(b)))), None)
+        pieces, words = _pieces(content, _fonts(objs, list(line)))
+        out.append({"page": len(out) + 1, "width": float(box[2]) - float(box[1]) if box else PAGE_WIDTH, "pieces": pieces, "words": words})
+    return out
 
 
-def _pieces(content: bytes) -> list[dict]:
-    out, args, x, y, lead, inside = [], [], 0.0, 0.0, 12.0, False
+def pages(data: bytes) -> list[list[dict]]:
+    """Text pieces (text, x0, top) of each page in reading order of the page tree."""
+    return [r["pieces"] for r in page_rows(data)]
+
+
+def _pieces(content: bytes, fonts: dict[bytes, list[float]]) -> tuple[list[dict], list[dict]]:
+    """What each operator shows, and the words in it with where they begin and end."""
+    out, words, args, x, y, lead, inside = [], [], [], 0.0, 0.0, 12.0, False
     line_x = line_y = 0.0
+    size, scale, widths = 12.0, 1.0, [CHARACTER] * 256
     for m in _TEXT.finditer(content):
         t = m[0]
         if not t[:1].isalpha() and t[:1] not in b"'\"*":
@@ -89,36 +134,68 @@ def _pieces(content: bytes) -> list[dict]:
         texts = [a for a in args if a[:1] in b"(<"]
         if op == "BT":
             x = y = line_x = line_y = 0.0
-            inside = True
+            scale, inside = 1.0, True
         elif op == "ET":
             inside = False
+        elif op == "Tf" and nums:
+            size = nums[-1]
+            widths = next((fonts[a[1:]] for a in args if a[:1] == b"/" and a[1:] in fonts), [CHARACTER] * 256)
         elif op in ("Td", "TD") and len(nums) >= 2:
-            line_x, line_y = line_x + nums[-2], line_y + nums[-1]
+            line_x, line_y = line_x + nums[-2] * scale, line_y + nums[-1] * scale
             x, y = line_x, line_y
             lead = -nums[-1] if op == "TD" else lead
         elif op == "TL" and nums:
             lead = nums[-1]
         elif op == "Tm" and len(nums) >= 6:
             x, y = line_x, line_y = nums[-2], nums[-1]
-        elif op == "T*" or op in ("'", '"'):
-            line_y -= lead
+            scale = abs(nums[-6]) or 1.0
+        elif op in ("T*", "'", '"'):
+            line_y -= lead * scale
             x, y = line_x, line_y
         if op in ("Tj", "TJ", "'", '"') and inside and texts:
             gaps = "".join(_literal(a) if a[:1] in b"(<" else " " if re.fullmatch(rb"-\d+\.?\d*", a) and float(a) < -200 else "" for a in args)
             out.append({"text": gaps, "x0": x, "top": -y})
+            word, begun, shown = "", x, args if op == "TJ" else texts[-1:]
+            for a in shown:
+                if a[:1] not in b"(<":
+                    step = -float(a) / 1000 * size * scale if re.fullmatch(rb"-?\d*\.?\d+", a) else 0.0
+                    if word and step > 0.2 * size * scale:
+                        words.append({"text": word, "x0": begun, "x1": x, "top": -y})
+                        word = ""
+                    x += step
+                    continue
+                for c in _literal(a):
+                    if c.isspace():
+                        if word:
+                            words.append({"text": word, "x0": begun, "x1": x, "top": -y})
+                            word = ""
+                    else:
+                        begun = begun if word else x
+                        word += c
+                    code = ord(c) if ord(c) < 256 else (c.encode("cp1252", "replace") or b"?")[0]
+                    x += widths[code] / 1000 * size * scale
+            if word:
+                words.append({"text": word, "x0": begun, "x1": x, "top": -y})
         args = []
-    return out
+    return out, words
+
+
+def page_text(pieces: list[dict]) -> str:
+    """A page's lines: pieces of one height go together, left to right."""
+    lines: dict[float, list[dict]] = {}
+    for p in pieces:
+        lines.setdefault(round(p["top"]), []).append(p)
+    return "\n".join(" ".join(p["text"] for p in sorted(row, key=lambda p: p["x0"])) for _, row in sorted(lines.items()))
 
 
 def text(data: bytes) -> str:
-    """Lines of all pages: pieces of one height go together, left to right."""
-    made = []
-    for page in pages(data):
-        lines: dict[float, list[dict]] = {}
-        for p in page:
-            lines.setdefault(round(p["top"]), []).append(p)
-        made.append("\n".join(" ".join(p["text"] for p in sorted(row, key=lambda p: p["x0"])) for _, row in sorted(lines.items())))
-    return "\n\n".join(made)
+    """Lines of all pages."""
+    return "\n\n".join(page_text(r["pieces"]) for r in page_rows(data))
+
+
+def page_table(data: bytes) -> list[dict]:
+    """page, width, text and words of each page, for layout by the operators on word boxes."""
+    return [{"page": r["page"], "width": r["width"], "text": page_text(r["pieces"]), "words": r["words"]} for r in page_rows(data)]
 
 
 def merge_partial_numbers(body: str) -> str:
