@@ -178,21 +178,21 @@ def md_lines(spark, sf_dir):
 # A deterministic Markdown form of documents: every 4th line a heading, every 5th a list item, blanks between.
 def _markdown_docs(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), F.substring(F.regexp_replace(x, "[#|`*]", ""), 1, 20))).when(i % 5 == 0, F.concat(F.lit("- "), F.regexp_replace(x, "[|`]", ""))).otherwise(F.concat(F.lit("p "), F.regexp_replace(x, "[|`]", ""))))
+    parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), F.regexp_replace(x, "[#|`*]", ""))).when(i % 5 == 0, F.concat(F.lit("- "), F.regexp_replace(x, "[|`]", ""))).otherwise(F.concat(F.lit("p "), F.regexp_replace(x, "[|`]", ""))))
     return d.select(F.col("doc_id").alias("document_id"), F.array_join(parts, "\n\n").alias("text"))
 
 
 _MD = r"""SELECT doc_id AS document_id, i - 1 AS i, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS n FROM (SELECT doc_id, 1 AS i, string_split(text, chr(10)) AS l FROM documents)"""
 
 
-@query(rf"""SELECT document_id, CAST(count(*) FILTER (n % 4 = 0 AND trim(substr(regexp_replace(x, '[#|`*]', '', 'g'), 1, 20)) <> '') AS BIGINT) AS headings,
+@query(rf"""SELECT document_id, CAST(count(*) FILTER (n % 4 = 0 AND trim(regexp_replace(x, '[#|`*]', '', 'g')) <> '') AS BIGINT) AS headings,
  CAST(count(*) FILTER (n % 4 <> 0 AND n % 5 = 0 AND trim(regexp_replace(x, '[|`]', '', 'g')) <> '') AS BIGINT) AS items FROM ({_MD}) GROUP BY document_id""")
 def md_blocks(spark, sf_dir):
     found = markdown.blocks(markdown.classified(markdown.lines(_markdown_docs(spark, sf_dir))))
     return found.groupBy("document_id").agg(F.count_if(F.col("kind") == "heading").alias("headings"), F.count_if(F.col("kind") == "list").alias("items"))
 
 
-@query(rf"""SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY n) - 1 AS nth, trim(substr(regexp_replace(x, '[#|`*]', '', 'g'), 1, 20)) AS heading FROM ({_MD}) WHERE n % 4 = 0 AND trim(substr(regexp_replace(x, '[#|`*]', '', 'g'), 1, 20)) <> ''""")
+@query(rf"""SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY n) - 1 AS nth, trim(regexp_replace(x, '[#|`*]', '', 'g')) AS heading FROM ({_MD}) WHERE n % 4 = 0 AND trim(regexp_replace(x, '[#|`*]', '', 'g')) <> ''""")
 def md_headings(spark, sf_dir):
     nodes = markdown.to_nodes(_markdown_docs(spark, sf_dir)).where("semantic_role = 'heading-2'")
     return nodes.select("document_id", (F.row_number().over(Window.partitionBy("document_id").orderBy("order")) - 1).cast("long").alias("nth"), F.trim("text").alias("heading"))
@@ -333,10 +333,10 @@ def validate_documents(spark, sf_dir):
     return ir.validate(_star(spark, sf_dir)).groupBy("document_id", "code", "subject").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT CAST(o_custkey % 100 AS BIGINT) AS document_id, CAST(o_orderkey AS VARCHAR) AS node_id FROM orders WHERE o_custkey % 100 < 5 AND o_orderkey < 2000""")
+@query(r"""SELECT o_custkey AS document_id, CAST(o_orderkey AS VARCHAR) AS node_id FROM orders""")
 def validate_cycle(spark, sf_dir):
-    """Orders of a few groups form a ring each; a chain beside them is none."""
-    o = load(spark, sf_dir, "orders").where("o_custkey % 100 < 5 and o_orderkey < 2000").select((F.col("o_custkey") % 100).alias("document_id"), F.col("o_orderkey").alias("k"))
+    """The orders of every customer form a ring; a chain beside each is none."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("k"))
     w = Window.partitionBy("document_id").orderBy("k")
     ring = o.withColumn("up", F.coalesce(F.lag("k").over(w), F.max("k").over(Window.partitionBy("document_id"))))
     chain = o.withColumn("up", F.lag("k").over(w)).select("document_id", F.concat(F.lit("c"), "k").alias("node_id"), F.concat(F.lit("c"), "up").alias("parent_id"))
@@ -345,14 +345,14 @@ def validate_cycle(spark, sf_dir):
 
 
 def _capabilities(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    li = load(spark, sf_dir, "lineitem")
     state = F.when(F.col("l_linenumber") == 1, F.when(F.col("l_orderkey") % 3 == 0, "writable").otherwise("read-only")).when(F.col("l_linenumber") == 2, "derived").otherwise("read-only")
     caps = li.select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").cast("string").alias("node_id"), F.concat(F.lit("op"), F.col("l_linenumber").cast("string")).alias("operation"), state.alias("state"), F.when(state != "writable", F.concat(F.lit("why."), state)).alias("reason_code"))
     nodes = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").cast("string").alias("node_id")).distinct()
     return nodes, caps
 
 
-_CAPS = """SELECT l_orderkey AS d, CAST(l_partkey AS VARCHAR) AS node, 'op' || l_linenumber AS op, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_orderkey % 3 = 0 THEN 'writable' ELSE 'read-only' END WHEN l_linenumber = 2 THEN 'derived' ELSE 'read-only' END AS state FROM lineitem WHERE l_linenumber <= 3"""
+_CAPS = """SELECT l_orderkey AS d, CAST(l_partkey AS VARCHAR) AS node, 'op' || l_linenumber AS op, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_orderkey % 3 = 0 THEN 'writable' ELSE 'read-only' END WHEN l_linenumber = 2 THEN 'derived' ELSE 'read-only' END AS state FROM lineitem"""
 
 
 @query(f"""WITH c AS ({_CAPS}), p AS (SELECT d, node, bool_or(state = 'writable') AS w, bool_or(state = 'derived') AS v FROM c GROUP BY ALL), n AS (SELECT DISTINCT l_orderkey AS d, CAST(l_partkey AS VARCHAR) AS node FROM lineitem)
@@ -497,7 +497,7 @@ def _words(spark, sf_dir):
     return rows.select("document_id", F.lit(1).alias("page"), F.lit(612.0).alias("width"), F.posexplode(cells).alias("c", "text"), "row").select("document_id", "page", "width", "text", (F.col("c") * 150.0 + 40).cast("double").alias("x0"), (F.col("c") * 150.0 + 90).cast("double").alias("x1"), (F.col("row") * 20.0 + F.col("c")).cast("double").alias("top"))
 
 
-@query(f"""SELECT k AS document_id, CAST(r * 20 AS DOUBLE) AS band, CAST(3 AS BIGINT) AS words, true AS is_table FROM {_ROWS} WHERE r < 40""")
+@query(f"""SELECT k AS document_id, CAST(r * 20 AS DOUBLE) AS band, CAST(3 AS BIGINT) AS words, true AS is_table FROM {_ROWS}""")
 def layout_rows(spark, sf_dir):
     rows = layout.table_rows(layout.band_rows(layout.row_bands(_words(spark, sf_dir))))
     return rows.select("document_id", F.col("band").cast("double").alias("band"), F.size("groups").cast("long").alias("words"), "is_table")
@@ -509,7 +509,31 @@ def layout_columns(spark, sf_dir):
     return found.select("document_id", F.col("column_no").cast("int").alias("column_no"), F.col("x").cast("double").alias("x"))
 
 
-@query(f"""WITH l AS (SELECT k, r, '| ' || o_orderkey || ' | ' || r || ' | ' || s || ' |' AS line FROM {_ROWS} WHERE r < 40)
+@query(f"""WITH l AS (SELECT k, r, '| ' || o_orderkey || ' | ' || r || ' | ' || s || ' |' AS line FROM {_ROWS})
 SELECT k AS document_id, arg_min(line, r) || chr(10) || '| --- | --- | --- |' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY r) FILTER (r > 0), '') AS markdown FROM l GROUP BY k""")
 def layout_markdown(spark, sf_dir):
     return layout.form_markdown(_words(spark, sf_dir)).select("document_id", "markdown")
+
+
+#: Rows of a page, and where its columns begin.
+_PDF_ROWS, _PDF_COLUMNS = 30, (50, 200, 350)
+
+
+@query(f"""WITH l AS (SELECT o_custkey AS k, r // {_PDF_ROWS} AS p, r, '| ' || o_orderkey || ' | ' || s || ' | ' || r || ' |' AS line FROM (SELECT k AS o_custkey, o_orderkey, s, r FROM {_ROWS})),
+g AS (SELECT k, p, '| order | status | row |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY r) AS t FROM l GROUP BY k, p)
+SELECT k AS document_id, CAST(count(*) AS BIGINT) AS form_pages, string_agg(t, chr(10) || chr(10) ORDER BY p) AS markdown FROM g GROUP BY k""")
+def pdf_forms(spark, sf_dir):
+    """A PDF for every customer, its orders as forms of some rows a page, back to tables."""
+    show = lambda y, *cells: F.concat(*[x for at, c in zip(_PDF_COLUMNS, cells) for x in (F.lit(f"1 0 0 1 {at} "), y.cast("string"), F.lit(" Tm ("), c, F.lit(") Tj "))])
+    rows = _rows(spark, sf_dir).withColumn("page", F.floor(F.col("row") / _PDF_ROWS).cast("int"))
+    line = show(F.lit(680) - 20 * (F.col("row") % _PDF_ROWS), F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("row").cast("string"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))), lambda x: x["line"]), "")
+    head = show(F.lit(700), F.lit("order"), F.lit("status"), F.lit("row"))
+    pages = rows.groupBy("document_id", "page").agg(F.concat(F.lit("BT /F1 10 Tf "), head, body, F.lit("ET")).alias("content"))
+    object_ = lambda n, text: F.concat(n.cast("string"), F.lit(" 0 obj"), text, F.lit("endobj\n"))
+    number = 3 + 2 * F.col("page")
+    both = F.concat(object_(number, F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Contents "), (number + 1).cast("string"), F.lit(" 0 R >>"))), object_(number + 1, F.concat(F.lit("<< >>stream\n"), F.col("content"), F.lit("\nendstream "))))
+    files = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page", number.alias("n"), both.alias("o")))).alias("ps"))
+    kids = F.array_join(F.transform("ps", lambda x: F.concat(x["n"].cast("string"), F.lit(" 0 R"))), " ")
+    text = F.concat(F.lit("%PDF-1.4\n1 0 obj<< /Type /Catalog /Pages 2 0 R >>endobj\n2 0 obj<< /Type /Pages /Kids ["), kids, F.lit("] >>endobj\n"), F.array_join(F.transform("ps", lambda x: x["o"]), ""), F.lit("trailer<< /Root 1 0 R >>"))
+    return CV.pdf_markdown(files.select("document_id", text.cast("binary").alias("content"))).select("document_id", "form_pages", "markdown")
