@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..functions import text as T
 from .staging import settle
+from .tables import grid_to_rows, table_markdown
 
 HEADING, LIST, IMAGE, FENCE = r"^(#{1,6})\s+(.*?)\s*#*\s*$", r"^(\s*)(?:[-*+]|\d+[.)])\s+(.*)$", r"^!\[([^\]]*)\]\(([^)]*)\)\s*$", r"^\s*(```|~~~)"
 RULE = r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$"
@@ -126,14 +129,50 @@ def preorder(nodes: DataFrame) -> DataFrame:
             out = settle(out, "levels")
 
 
-def projection_blocks(nodes: DataFrame) -> DataFrame:
-    """Rendered blocks in order: groups are transparent; ordinal, projection_id and rendered_digest of each."""
+def structured_blocks(images: DataFrame | None = None, cells: DataFrame | None = None, charts: DataFrame | None = None) -> DataFrame | None:
+    """(document_id, node_id, block) of nodes that aren't text, from the tables that hold them.
+
+    images: document_id, node_id, alt, resource_id; cells: document_id, node_id,
+    row, column, value; charts: document_id, node_id, title, categories, values.
+    """
+    parts = []
+    if images is not None:
+        alt = F.coalesce("alt", F.lit(""))
+        parts.append(images.select("document_id", "node_id", render_image(alt, F.col("resource_id")).alias("block")))
+    if cells is not None:
+        key = F.struct("document_id", "node_id")
+        rows = grid_to_rows(cells.select(key.alias("_key"), "row", "column", "value"), "_key")
+        parts.append(table_markdown(rows, "_key").select("_key.document_id", "_key.node_id", F.col("markdown").alias("block")))
+    if charts is not None:
+        parts.append(charts.select("document_id", "node_id", render_chart(F.col("title"), F.col("categories"), F.col("values")).alias("block")))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def projection_blocks(nodes: DataFrame, structured: DataFrame | None = None) -> DataFrame:
+    """Rendered blocks in order: groups are transparent; ordinal, projection_id and rendered_digest of each.
+
+    ``structured`` has the blocks of images, tables and charts (see
+    ``structured_blocks``); all others, and those that it lacks, show their text.
+    """
     shown = nodes.where("kind <> 'group'")
+    block = render_text()
+    if structured is not None:
+        shown = shown.join(structured.select("document_id", "node_id", F.col("block").alias("_block")), ["document_id", "node_id"], "left")
+        block = F.when(F.col("kind").isin("image", "table", "chart") & F.col("_block").isNotNull(), F.col("_block")).otherwise(block)
     ordinal = F.row_number().over(Window.partitionBy("document_id").orderBy("path", "node_id")) - 1
-    out = shown.withColumn("ordinal", ordinal).withColumn("rendered", T.normalize_block(render_text()))
+    out = shown.withColumn("ordinal", ordinal).withColumn("rendered", T.normalize_block(F.coalesce(block, F.lit("")))).drop("_block")
     return out.withColumn("projection_id", I.projection_id("document_id", "node_id", "ordinal")).withColumn("rendered_digest", F.sha2("rendered", 256))
 
 
+def manifest(found: DataFrame) -> DataFrame:
+    """(document_id, manifest, digest): the canonical JSON of a projection's blocks in order, and its SHA-256."""
+    one = F.struct("kind", "node_id", "ordinal", "projection_id", "rendered_digest")
+    blocks_ = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", one.alias("b")))), lambda x: x["b"])
+    got = found.groupBy("document_id").agg(blocks_.alias("blocks"))
+    text = F.to_json(F.struct("blocks", F.col("document_id").cast("string").alias("document_id"), F.lit(1).alias("version")))
+    return got.select("document_id", text.alias("manifest"), F.sha2(text, 256).alias("digest"))
+
+
 def projection_text(found: DataFrame, identity: bool = False) -> DataFrame:
     """(document_id, markdown): blocks joined by an empty line, with their marks if ``identity``."""
     body = F.col("rendered")
