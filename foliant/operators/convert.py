@@ -53,7 +53,7 @@ Convert = Callable[[bytes, dict], "tuple[str, str | None] | None"]
 
 
 def _html(data: bytes, info: dict) -> tuple[str, str | None]:
-    return html.convert(decode(data, info.get("charset")), keep_data_uris=bool(info.get("keep_data_uris")))
+    return html.convert(decode(data, info.get("charset")), keep_data_uris=bool(info.get("keep_data_uris")), references=info.get("references") or "html")
 
 
 def _youtube(data: bytes, info: dict) -> tuple[str, str | None]:
@@ -125,11 +125,12 @@ ATTEMPTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in (
 INFO = ("mimetype", "extension", "charset", "filename", "local_path", "url")
 
 
-def convert(df: DataFrame, key: str = "document_id", registry: Registry | None = None, keep_data_uris: bool = False, forms: bool = False) -> DataFrame:
+def convert(df: DataFrame, key: str = "document_id", registry: Registry | None = None, keep_data_uris: bool = False, forms: bool = False, references: str = "html") -> DataFrame:
     """(key, converter, status, title, markdown, attempts) of documents (key, content, and any of mimetype, extension, charset, filename, local_path, url).
 
     With ``forms``, PDF pages that are forms become tables; the results are
     settled, and only the bytes of documents converted as PDF are laid out.
+    ``references`` says which of them HTML pages have (see ``html.parse``).
     """
     registry = registry or Registry()
     for name in INFO:
@@ -140,7 +141,7 @@ def convert(df: DataFrame, key: str = "document_id", registry: Registry | None =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [convert_bytes(bytes(r.content or b""), {n: getattr(r, n) for n in INFO} | {"keep_data_uris": keep_data_uris}, candidates=list(r.candidates), converters=converters) for r in frame.itertuples()]
+            rows = [convert_bytes(bytes(r.content or b""), {n: getattr(r, n) for n in INFO} | {"keep_data_uris": keep_data_uris, "references": references}, candidates=list(r.candidates), converters=converters) for r in frame.itertuples()]
             yield pd.DataFrame({key: frame[key].to_numpy(), **{c: [r[c] for r in rows] for c in ("converter", "status", "title", "markdown", "attempts")}})
 
     schema = T.StructType([df.schema[key], *(T.StructField(n, T.StringType()) for n in ("converter", "status", "title", "markdown")), T.StructField("attempts", ATTEMPTS)])
